@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Accepted input formats and flags.
-FILING_DATE_FORMATS = ("d-MMM-yyyy", "yyyy-M-d", "M/d/yyyy")
+# Accepted input formats (shape, pattern), flags and lengths.
+FILING_DATE_FORMATS = (
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+)
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TRUE_FLAGS = ("1", "TRUE", "Y", "YES", "X")
 CUSIP_LENGTH = 9
 CIK_LENGTH = 10
@@ -13,7 +21,7 @@ CIK_LENGTH = 10
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks; null becomes ''."""
-    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def stripped_upper(c: Column | str) -> Column:
@@ -48,8 +56,13 @@ def normalize_list_cusip(c: Column | str) -> Column:
 
 
 def parse_filing_date(c: Column | str) -> Column:
+    """Date in one of the accepted formats; the shape picks the format before parsing."""
     text = strip(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in FILING_DATE_FORMATS])
+    parsed: Column | None = None
+    for shape, pattern in FILING_DATE_FORMATS:
+        value = F.try_to_date(text, pattern)
+        parsed = F.when(text.rlike(shape), value) if parsed is None else parsed.when(text.rlike(shape), value)
+    return parsed
 
 
 def parse_number(c: Column | str, as_type: str) -> Column:

@@ -36,30 +36,35 @@ def read_package_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def parse_submissions(submission: DataFrame, coverpage: DataFrame) -> DataFrame:
     """Typed filings with ``reason`` set on rows that cannot be used."""
-    filings = submission.filter(stripped_upper("SUBMISSIONTYPE").isin(*HOLDINGS_FORMS)).select(
+    text = submission.select(
         strip("ACCESSION_NUMBER").alias("accession_number"),
-        parse_filing_date("FILING_DATE").alias("filing_date"),
+        strip("FILING_DATE").alias("filed"),
         stripped_upper("SUBMISSIONTYPE").alias("submission_type"),
-        normalize_cik("CIK").alias("cik"),
-        parse_filing_date("PERIODOFREPORT").alias("report_period"),
+        strip("CIK").alias("raw_cik"),
+        strip("PERIODOFREPORT").alias("period"),
         _optional(submission, "PACKAGE").alias("package"),
-        _first_reason(
-            (_blank("ACCESSION_NUMBER"), "missing ACCESSION_NUMBER"),
-            (_blank("FILING_DATE"), "missing FILING_DATE"),
-            (parse_filing_date("FILING_DATE").isNull(), "bad FILING_DATE"),
-            (_blank("CIK"), "missing CIK"),
-            (normalize_cik("CIK").isNull(), "bad CIK"),
-            (_blank("PERIODOFREPORT"), "missing PERIODOFREPORT"),
-            (parse_filing_date("PERIODOFREPORT").isNull(), "bad PERIODOFREPORT"),
-        ).alias("reason"),
-    )
+    ).filter(F.col("submission_type").isin(*HOLDINGS_FORMS))
+    typed = text.withColumns({
+        "filing_date": parse_filing_date("filed"), "report_period": parse_filing_date("period"),
+        "cik": normalize_cik("raw_cik"),
+    })
+    filings = typed.withColumn("reason", _first_reason(
+        (F.col("accession_number") == "", "missing ACCESSION_NUMBER"),
+        (F.col("filed") == "", "missing FILING_DATE"),
+        (F.col("filing_date").isNull(), "bad FILING_DATE"),
+        (F.col("raw_cik") == "", "missing CIK"),
+        (F.col("cik").isNull(), "bad CIK"),
+        (F.col("period") == "", "missing PERIODOFREPORT"),
+        (F.col("report_period").isNull(), "bad PERIODOFREPORT"),
+    ))
+    number = parse_number("AMENDMENTNO", "int")
     covers = coverpage.select(
         strip("ACCESSION_NUMBER").alias("accession_number"),
         strip("FILINGMANAGER_NAME").alias("filer_name"),
         truthy("ISAMENDMENT").alias("cover_amendment"),
-        parse_number("AMENDMENTNO", "int").alias("amendment_number"),
+        number.alias("amendment_number"),
         stripped_upper("AMENDMENTTYPE").alias("amendment_type"),
-        (~_blank("AMENDMENTNO") & parse_number("AMENDMENTNO", "int").isNull()).alias("bad_number"),
+        ((strip("AMENDMENTNO") != "") & number.isNull()).alias("bad_number"),
     )
     return filings.join(covers, "accession_number", "left").select(
         "accession_number", "filing_date", "submission_type", "cik", "report_period",
@@ -72,44 +77,52 @@ def parse_submissions(submission: DataFrame, coverpage: DataFrame) -> DataFrame:
     )
 
 
+# Columns a holding line must fill, and its optional vote counts.
+REQUIRED_TEXT = {
+    "INFOTABLE_SK": "info_table_key", "NAMEOFISSUER": "issuer_name", "TITLEOFCLASS": "title_of_class",
+    "SSHPRNAMTTYPE": "share_type", "INVESTMENTDISCRETION": "investment_discretion",
+}
+VOTES = ("VOTING_AUTH_SOLE", "VOTING_AUTH_SHARED", "VOTING_AUTH_NONE")
+
+
 def parse_holdings(infotable: DataFrame) -> DataFrame:
     """Typed holding lines, in reported value units, with ``reason`` on unusable rows."""
-    value, shares = parse_number("VALUE", "long"), parse_number("SSHPRNAMT", "double")
-    cusip = normalize_cusip("CUSIP")
-    votes = ("VOTING_AUTH_SOLE", "VOTING_AUTH_SHARED", "VOTING_AUTH_NONE")
-    checks = [
-        (_blank("VALUE"), "missing VALUE"),
-        (value.isNull(), "bad VALUE"),
-        (_blank("INFOTABLE_SK"), "missing INFOTABLE_SK"),
-        (_blank("NAMEOFISSUER"), "missing NAMEOFISSUER"),
-        (_blank("TITLEOFCLASS"), "missing TITLEOFCLASS"),
-        (_blank("CUSIP"), "missing CUSIP"),
-        (~is_valid_cusip(cusip), "bad CUSIP"),
-        (_blank("SSHPRNAMT"), "missing SSHPRNAMT"),
-        (shares.isNull(), "bad SSHPRNAMT"),
-        (_blank("SSHPRNAMTTYPE"), "missing SSHPRNAMTTYPE"),
-        (_blank("INVESTMENTDISCRETION"), "missing INVESTMENTDISCRETION"),
-        *[(~_blank(v) & parse_number(v, "long").isNull(), f"bad {v}") for v in votes if v in infotable.columns],
-        ((value < 0) | (shares < 0), "negative VALUE or SSHPRNAMT"),
-    ]
-    return infotable.select(
+    votes = {v: v.lower().replace("auth", "authority") for v in VOTES}
+    present = [v for v in VOTES if v in infotable.columns]
+    text = infotable.select(
         strip("ACCESSION_NUMBER").alias("accession_number"),
-        strip("INFOTABLE_SK").alias("info_table_key"),
-        strip("NAMEOFISSUER").alias("issuer_name"),
-        strip("TITLEOFCLASS").alias("title_of_class"),
-        cusip.alias("cusip"),
-        F.upper(strip(_optional(infotable, "FIGI"))).alias("figi"),
-        value.alias("reported_value"),
-        shares.alias("shares_or_principal"),
+        *[strip(raw).alias(name) for raw, name in REQUIRED_TEXT.items() if raw not in ("SSHPRNAMTTYPE", "INVESTMENTDISCRETION")],
         stripped_upper("SSHPRNAMTTYPE").alias("share_type"),
-        stripped_upper("PUTCALL").alias("put_call"),
         stripped_upper("INVESTMENTDISCRETION").alias("investment_discretion"),
+        strip("CUSIP").alias("raw_cusip"), strip("VALUE").alias("raw_value"), strip("SSHPRNAMT").alias("raw_shares"),
+        F.upper(strip(_optional(infotable, "FIGI"))).alias("figi"),
+        stripped_upper("PUTCALL").alias("put_call"),
         strip("OTHERMANAGER").alias("other_manager"),
-        *[
-            F.coalesce(parse_number(_optional(infotable, v), "long"), F.lit(0).cast("long")).alias(v.lower().replace("auth", "authority"))
-            for v in votes
-        ],
-        _first_reason(*checks).alias("reason"),
+        *[strip(v).alias(f"raw_{v}") for v in present],
+    )
+    typed = text.withColumns({
+        "cusip": normalize_cusip("raw_cusip"), "reported_value": parse_number("raw_value", "long"),
+        "shares_or_principal": parse_number("raw_shares", "double"),
+        **{votes[v]: parse_number(f"raw_{v}", "long") for v in present},
+    })
+    reason = _first_reason(
+        (F.col("raw_value") == "", "missing VALUE"),
+        (F.col("reported_value").isNull(), "bad VALUE"),
+        *[(F.col(n) == "", f"missing {raw}") for raw, n in list(REQUIRED_TEXT.items())[:3]],
+        (F.col("raw_cusip") == "", "missing CUSIP"),
+        (~is_valid_cusip("cusip"), "bad CUSIP"),
+        (F.col("raw_shares") == "", "missing SSHPRNAMT"),
+        (F.col("shares_or_principal").isNull(), "bad SSHPRNAMT"),
+        *[(F.col(n) == "", f"missing {raw}") for raw, n in list(REQUIRED_TEXT.items())[3:]],
+        *[((F.col(f"raw_{v}") != "") & F.col(votes[v]).isNull(), f"bad {v}") for v in present],
+        ((F.col("reported_value") < 0) | (F.col("shares_or_principal") < 0), "negative VALUE or SSHPRNAMT"),
+    )
+    none = F.lit(0).cast("long")
+    return typed.select(
+        "accession_number", "info_table_key", "issuer_name", "title_of_class", "cusip", "figi", "reported_value",
+        "shares_or_principal", "share_type", "put_call", "investment_discretion", "other_manager",
+        *[(F.coalesce(F.col(n), none) if v in present else none).alias(n) for v, n in votes.items()],
+        reason.alias("reason"),
     )
 
 
@@ -117,10 +130,6 @@ def value_in_dollars(holdings_with_date: DataFrame, cutover: str = UNIT_CHANGE_D
     return holdings_with_date.withColumn("value_usd", to_dollars("reported_value", "filing_date", cutover))
 
 
-def _blank(name: str) -> Column:
-    return strip(name) == ""
-
-
 def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 

@@ -29,9 +29,9 @@ def _lines(spark: SparkSession, source: str) -> DataFrame:
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     day = F.col("o_orderdate").cast("date")
-    lines = lines.withColumn("qn", (F.year(day) * 4 + F.quarter(day)).cast("long"))
-    gap = (F.col("l_suppkey") + 3 * F.col("qn")) % 19 == 0
-    lines = lines.withColumn("qn", F.when(gap, F.col("qn") - 1).otherwise(F.col("qn")))
+    lines = lines.withColumn("qn0", (F.year(day) * 4 + F.quarter(day)).cast("long"))
+    gap = (F.col("l_suppkey") + 3 * F.col("qn0")) % 19 == 0
+    lines = lines.withColumn("qn", F.when(gap, F.col("qn0") - 1).otherwise(F.col("qn0")))
     quarter_start = F.trunc(day, "quarter")
     start = F.when(gap, F.add_months(quarter_start, -3)).otherwise(quarter_start)
     manager = F.lpad(F.col("l_suppkey").cast("string"), 10, "0")
