@@ -86,23 +86,30 @@ def peer_statistics(snaps: DataFrame, facts: DataFrame, cutoffs: DataFrame) -> D
     )
 
 
-def ranked_peers(stats: DataFrame) -> DataFrame:
-    """Securities of each (t, cut-off) by owners, weight, key. Hand in a saved stage."""
+def ranked_peers(stats: DataFrame, seen: DataFrame) -> DataFrame:
+    """Securities of each (t, cut-off) by owners, weight, key, with their first observation.
+
+    Hand in a saved stage. Attaching the first observation here, once per security and
+    cut-off, spares joining it to every candidate.
+    """
     order = [
         F.desc("peer_owner_count"), F.desc(F.round("peer_aggregate_weight", ORDER_DECIMALS)), F.col("security_key")
     ]
-    return rank_within(stats, ["t", "cutoff"], order, [-octave("peer_owner_count")], "peer_rank")
+    ranked = rank_within(stats, ["t", "cutoff"], order, [-octave("peer_owner_count")], "peer_rank")
+    return ranked.withColumnRenamed("t", "report_period").join(seen, "security_key")
+
+
+def _eligible(quarters: DataFrame) -> DataFrame:
+    return quarters.filter(F.col("status") == ELIGIBLE).drop("status").withColumnRenamed("available_at", "cutoff")
 
 
 def held_with_peers(snaps: DataFrame, quarters: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Holdings of eligible manager-quarters with their peer statistics and position."""
-    eligible = quarters.filter(F.col("status") == ELIGIBLE).select(
-        "cik", "report_period", F.col("available_at").alias("cutoff")
-    )
-    held = snaps.select("cik", "report_period", "security_key").join(eligible, ["cik", "report_period"])
-    return held.join(
-        ranked.withColumnRenamed("t", "report_period"), ["report_period", "cutoff", "security_key"], "left"
-    )
+    """Holdings of eligible manager-quarters with manager facts, peer statistics and position.
+
+    A manager is its own peer, so every holding finds its statistics.
+    """
+    held = snaps.select("cik", "report_period", "security_key").join(_eligible(quarters), ["cik", "report_period"])
+    return held.join(ranked, ["report_period", "cutoff", "security_key"])
 
 
 def peer_negatives(held: DataFrame, quarters: DataFrame, ranked: DataFrame, limit: int) -> DataFrame:
@@ -113,13 +120,8 @@ def peer_negatives(held: DataFrame, quarters: DataFrame, ranked: DataFrame, limi
     position), so nothing but the result is produced, and a cut-off shared by many
     managers is spread over the positions.
     """
-    eligible = quarters.filter(F.col("status") == ELIGIBLE).select(
-        "cik", "report_period", F.col("available_at").alias("cutoff"), "holdings"
-    )
-    # positions are small integers, at most one per listed security
-    taken = held.filter(F.col("peer_rank").isNotNull()).groupBy("cik", "report_period").agg(
-        F.collect_list("peer_rank").alias("taken")
-    )
+    # positions are integers, at most one per listed security
+    taken = held.groupBy("cik", "report_period").agg(F.collect_list("peer_rank").alias("taken"))
     free = F.slice(
         F.array_except(
             F.sequence(F.lit(1).cast("long"), F.col("holdings") + F.lit(limit)),
@@ -127,7 +129,8 @@ def peer_negatives(held: DataFrame, quarters: DataFrame, ranked: DataFrame, limi
         ),
         1, limit,
     )
-    wanted = eligible.join(taken, ["cik", "report_period"], "left").select(
-        "cik", "report_period", "cutoff", F.explode(free).alias("peer_rank")
-    )
-    return wanted.join(ranked.withColumnRenamed("t", "report_period"), ["report_period", "cutoff", "peer_rank"])
+    # few rows become many: spread them by a fixed number of partitions before unnesting
+    spread = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    managers = _eligible(quarters).join(taken, ["cik", "report_period"], "left").repartition(spread, "cik", "report_period")
+    wanted = managers.withColumn("peer_rank", F.explode(free))
+    return wanted.drop("taken").join(ranked, ["report_period", "cutoff", "peer_rank"])

@@ -28,8 +28,8 @@ def portfolio_facts(snaps: DataFrame) -> DataFrame:
     )
 
 
-def manager_quarters(facts: DataFrame) -> DataFrame:
-    """Each manager-quarter with its exact next and previous quarter.
+def manager_quarters(facts: DataFrame, turnovers: DataFrame) -> DataFrame:
+    """Each manager-quarter with its turnover and its exact next and previous quarter.
 
     Neighbours are taken only when they are the adjacent quarter, so gaps are not
     bridged. A manager's group has one row per quarter.
@@ -51,7 +51,7 @@ def manager_quarters(facts: DataFrame) -> DataFrame:
     )
     return neighbours.withColumns({
         "target_report_period": shift_quarter("report_period", 1), "status": status,
-    })
+    }).join(turnovers, ["cik", "report_period"], "left")
 
 
 def eligibility_counts(quarters: DataFrame) -> DataFrame:
@@ -98,15 +98,15 @@ def security_history(snaps: DataFrame) -> DataFrame:
     return snaps.groupBy("cik", "security_key").agg(F.map_from_entries(F.collect_list(entry)).alias("quarters"))
 
 
-def history_features(quarters: str, period: str) -> dict:
-    """Quarters held through ``period`` and quarters since last held (-1 when never)."""
+def history_features(rows: DataFrame, quarters: str, period: str) -> DataFrame:
+    """Add quarters held through ``period`` and quarters since last held (-1 when never)."""
     held = F.filter(F.map_keys(quarters), lambda q: q <= F.col(period))
-    last = F.array_max(held)
+    last = F.array_max("__held")
     months = (F.year(period) - F.year(last)) * 12 + F.month(period) - F.month(last)
-    return {
-        "holding_history_quarters": F.coalesce(F.when(F.col(quarters).isNotNull(), F.size(held)), F.lit(0)).cast("long"),
+    return rows.withColumn("__held", held).withColumns({
+        "holding_history_quarters": F.coalesce(F.when(F.col("__held").isNotNull(), F.size("__held")), F.lit(0)).cast("long"),
         "quarters_since_last_held": F.coalesce(F.floor(months / 3), F.lit(-1)).cast("long"),
-    }
+    }).drop("__held")
 
 
 def first_seen(snaps: DataFrame) -> DataFrame:

@@ -14,29 +14,21 @@ ACTIONS = ("new", "exit", "increase", "decrease", "unchanged")
 
 
 def build_examples(
-    held: DataFrame, negatives: DataFrame, quarters: DataFrame, turnover: DataFrame, history: DataFrame,
-    seen: DataFrame, tolerance: float = ACTION_TOLERANCE,
+    held: DataFrame, negatives: DataFrame, history: DataFrame, tolerance: float = ACTION_TOLERANCE
 ) -> DataFrame:
     """One row per candidate: features known at the cut-off and the next quarter's target.
 
-    The manager's whole history of a security arrives with one join on (cik, security);
+    Candidates already carry manager facts and peer statistics. The manager's whole
+    history of the security arrives with the only large join, on (cik, security);
     current, previous, lag-2 and target values are lookups in it.
     """
-    candidate = ["cik", "report_period", "security_key", "cutoff", "peer_owner_count", "peer_aggregate_weight"]
-    candidates = held.select(*candidate).unionByName(negatives.select(*candidate))
-    manager = quarters.filter(F.col("status") == ELIGIBLE).drop("available_at", "status").join(
-        turnover, ["cik", "report_period"], "left"
-    )
-    rows = (
-        candidates.join(history, ["cik", "security_key"], "left")
-        .join(manager, ["cik", "report_period"])
-        .join(seen, "security_key")
-    )
+    rows = held.unionByName(negatives).join(history, ["cik", "security_key"], "left")
 
     def at(quarters_away: int):
         return F.col("quarters")[shift_quarter("report_period", quarters_away) if quarters_away else F.col("report_period")]
 
     rows = rows.withColumns({"now": at(0), "before": at(-1), "lag2": at(-2), "then": at(1)})
+    rows = history_features(rows, "quarters", "report_period").drop("quarters")
 
     def weight(name: str):
         return F.coalesce(F.col(name)["w"], F.lit(0.0))
@@ -44,9 +36,13 @@ def build_examples(
     def rank(name: str, size: str):
         return F.coalesce(F.col(name)["r"], F.col(size) + 1)
 
-    current_rank, previous_rank = rank("now", "holdings"), rank("before", "previous_holdings")
-    action = position_action(weight("now"), weight("then"), tolerance)
-    examples = rows.select(
+    values = rows.withColumns({
+        "current_weight": weight("now"), "previous_weight": weight("before"), "lag2_weight": weight("lag2"),
+        "target_weight": weight("then"), "current_rank": rank("now", "holdings"),
+        "previous_rank": rank("before", "previous_holdings"), "target_rank": rank("then", "target_holdings"),
+        "target_action": position_action(weight("now"), weight("then"), tolerance),
+    })
+    return values.select(
         digest_id("cik", F.col("report_period").cast("string"), "security_key").alias("example_id"),
         "cik", "security_key",
         F.col("first_cusip").alias("cusip"),
@@ -56,21 +52,19 @@ def build_examples(
         F.col("cutoff").alias("feature_available_at"),
         "target_report_period", "target_available_at",
         "security_first_seen_period", "security_first_seen_available_at",
-        weight("now").alias("current_weight"), weight("before").alias("previous_weight"), weight("lag2").alias("lag2_weight"),
-        (weight("now") - weight("before")).alias("weight_momentum"),
-        current_rank.alias("current_rank"), previous_rank.alias("previous_rank"),
-        (previous_rank - current_rank).alias("rank_momentum"),
-        *[c.alias(n) for n, c in history_features("quarters", "report_period").items()],
+        "current_weight", "previous_weight", "lag2_weight",
+        (F.col("current_weight") - F.col("previous_weight")).alias("weight_momentum"),
+        "current_rank", "previous_rank",
+        (F.col("previous_rank") - F.col("current_rank")).alias("rank_momentum"),
+        "holding_history_quarters", "quarters_since_last_held",
         F.coalesce("turnover", F.lit(0.0)).alias("manager_turnover"),
         F.col("concentration_hhi").alias("manager_concentration_hhi"),
         F.col("top10_share").alias("manager_top10_share"),
-        F.coalesce("peer_owner_count", F.lit(0)).alias("peer_owner_count"),
-        F.coalesce("peer_aggregate_weight", F.lit(0.0)).alias("peer_aggregate_weight"),
-        weight("then").alias("target_weight"), rank("then", "target_holdings").alias("target_rank"),
-        F.col("then").isNotNull().cast("int").alias("in_target"),
-        action.alias("target_action"),
+        "peer_owner_count", "peer_aggregate_weight",
+        "target_weight", "target_rank", F.col("then").isNotNull().cast("int").alias("in_target"),
+        "target_action",
+        *[(F.col("target_action") == a).cast("int").alias(f"target_is_{a}") for a in ACTIONS],
     )
-    return examples.withColumns({f"target_is_{a}": (F.col("target_action") == a).cast("int") for a in ACTIONS})
 
 
 def coverage_by_manager_quarter(examples: DataFrame, quarters: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ class Tables:
         return self._saved("portfolio_facts", lambda: portfolios.portfolio_facts(self.snapshots()))
 
     def quarters(self) -> DataFrame:
-        return self._saved("manager_quarters", lambda: portfolios.manager_quarters(self.facts()))
+        return self._saved("manager_quarters", lambda: portfolios.manager_quarters(
+            self.facts(), portfolios.turnover(self.snapshots())))
 
     def build_peers(self) -> DataFrame:
         return peers.peer_statistics(self.snapshots(), self.facts(), peers.quarter_cutoffs(self.quarters()))
@@ -68,7 +69,8 @@ class Tables:
         return self._saved("peers", self.build_peers)
 
     def ranked_peers(self) -> DataFrame:
-        return self._saved("ranked_peers", lambda: peers.ranked_peers(self.peers()))
+        return self._saved("ranked_peers", lambda: peers.ranked_peers(
+            self.peers(), portfolios.first_seen(self.snapshots())))
 
     def held(self) -> DataFrame:
         return self._saved("held", lambda: peers.held_with_peers(self.snapshots(), self.quarters(), self.ranked_peers()))
@@ -77,11 +79,7 @@ class Tables:
         return peers.peer_negatives(self.held(), self.quarters(), self.ranked_peers(), limit)
 
     def build_gold(self, limit: int = gold.NEGATIVE_LIMIT) -> DataFrame:
-        snaps = self.snapshots()
-        return gold.build_examples(
-            self.held(), self.negatives(limit), self.quarters(), portfolios.turnover(snaps),
-            portfolios.security_history(snaps), portfolios.first_seen(snaps),
-        )
+        return gold.build_examples(self.held(), self.negatives(limit), portfolios.security_history(self.snapshots()))
 
     def gold(self) -> DataFrame:
         return self._saved("gold", self.build_gold)

@@ -24,8 +24,9 @@ def table(spark: SparkSession, source: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, source: str) -> DataFrame:
+    # orders grow with the lines: never broadcast them, also not at a small scale
     lines = table(spark, source, "lineitem").join(
-        table(spark, source, "orders").select("o_orderkey", "o_custkey", "o_orderdate"),
+        table(spark, source, "orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("merge"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     day = F.col("o_orderdate").cast("date")
@@ -125,7 +126,7 @@ def client_selections(spark: SparkSession, source: str) -> DataFrame:
     """What each customer bought, as raw client positions (one row per order line)."""
     parts = table(spark, source, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     customers = table(spark, source, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    orders = table(spark, source, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, source, "orders").select("o_orderkey", "o_custkey").hint("merge")
     lines = table(spark, source, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
