@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gold, silver  # noqa: F401  (each module registers its queries)
+from . import changes, forecasts, gold, silver  # noqa: F401  (each module registers its queries)
 from .silver import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]
