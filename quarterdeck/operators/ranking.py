@@ -24,21 +24,20 @@ def rank_within(
     bands: Sequence[Column],
     name: str = "rank",
     totals: Mapping[str, Column] | None = None,
-    average_ties: Column | None = None,
+    running: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its group.
 
     ``bands`` must be non-decreasing along ``order``. ``totals`` maps new column
-    names to sums over the whole group. With ``average_ties`` rows whose value in
-    that column is equal get the mean of their positions (a double).
+    names to sums over the whole group, ``running`` to sums up to and including the row.
     """
     band_names = [f"__band{i}" for i in range(len(bands))]
     banded = df.withColumns(dict(zip(band_names, bands)))
     cells = [*keys, *band_names]
-    totals = dict(totals or {})
+    totals, running = dict(totals or {}), dict(running or {})
 
     sizes = banded.groupBy(*cells).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__sum_{k}") for k, c in totals.items()]
+        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__sum_{k}") for k, c in (totals | running).items()]
     )
     along = Window.partitionBy(*keys).orderBy(*band_names)
     whole = Window.partitionBy(*keys)
@@ -46,15 +45,14 @@ def rank_within(
         *cells,
         (F.sum("__n").over(along) - F.col("__n")).alias("__start"),
         *[F.sum(f"__sum_{k}").over(whole).alias(k) for k in totals],
+        *[(F.sum(f"__sum_{k}").over(along) - F.col(f"__sum_{k}")).alias(f"__start_{k}") for k in running],
     )
-    cell = Window.partitionBy(*cells)
-    if average_ties is None:
-        position = F.row_number().over(cell.orderBy(*order)).cast("long")
-    else:
-        tied = Window.partitionBy(*cells, average_ties)
-        position = F.rank().over(cell.orderBy(*order)) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0)
-    ranked = banded.withColumn("__pos", position)
-    joined = ranked.join(starts, on=cells, how="inner")
-    return joined.select(
-        *df.columns, (F.col("__start") + F.col("__pos")).alias(name), *totals.keys()
+    cell = Window.partitionBy(*cells).orderBy(*order)
+    so_far = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = banded.withColumns({
+        "__pos": F.row_number().over(cell).cast("long"), **{f"__run_{k}": F.sum(c).over(so_far) for k, c in running.items()},
+    })
+    return placed.join(starts, on=cells).select(
+        *df.columns, (F.col("__start") + F.col("__pos")).alias(name), *totals,
+        *[(F.col(f"__start_{k}") + F.col(f"__run_{k}")).alias(k) for k in running],
     )

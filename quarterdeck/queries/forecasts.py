@@ -13,7 +13,7 @@ from .tables import Tables
 # The quarter and run of the materialised forecast.
 TARGET_QUARTER = "2000-12-31"
 RUN_ID = "persistence-2000q4"
-SERVED_MANAGER = "0000000007"
+SERVED_MANAGER = "0000000008"
 
 part("predictions", """
   SELECT *, CASE WHEN predicted > 1e-8 AND cw <= 1e-8 THEN 1 ELSE 0 END AS p_new, CASE WHEN predicted <= 1e-8 AND cw > 1e-8 THEN 1 ELSE 0 END AS p_exit,
