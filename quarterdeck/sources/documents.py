@@ -118,7 +118,8 @@ def read_securities_list(spark: SparkSession, path: str) -> DataFrame:
     if position["cusip"] is None or position["issuer_name"] is None:
         raise ValueError("CUSIP and issuer columns are needed")
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    after = F.struct("file", "block", "id") > F.struct(F.lit(header["file"]), F.lit(header["block"]), F.lit(header["id"]))
+    after = F.struct("file", "block", "id") > F.struct(
+        *[F.lit(header[c]).alias(c) for c in ("file", "block", "id")])
     cells = lines.filter(after).select("file", "block", "id", F.from_csv("value", schema, {"sep": separator}).alias("r"))
 
     def cell(column: str) -> Column:
