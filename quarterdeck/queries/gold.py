@@ -273,7 +273,6 @@ UNION ALL SELECT 'rows_checked', count(*) FROM gold
 """)
 def leakage_audit(t: Tables) -> DataFrame:
     examples, split = t.gold(), folds.validation_folds(t.gold(), *VALIDATION)
-    members = folds.fold_rows(examples.select("example_id", "target_report_period"), split).select("fold_id", "side", "example_id")
-    found = folds.audit_examples(examples).unionByName(folds.audit_split(examples, members, split))
+    found = folds.audit_examples(examples).unionByName(folds.audit_quarter_folds(examples, split))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("issues")).unionByName(
         examples.agg(F.count(F.lit(1)).alias("issues")).select(F.lit("rows_checked").alias("code"), "issues"))

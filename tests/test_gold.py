@@ -100,6 +100,17 @@ def test_audit_finds_planted_faults(spark):
         "unknown_evaluation_example", "evaluation_boundary_violation"}
 
 
+def test_quarter_fold_audit(spark):
+    rows = spark.createDataFrame([("e1", "A", date(2024, 3, 31), date(2024, 6, 30)), ("e2", "A", date(2024, 3, 31), date(2024, 9, 30))],
+                                 "example_id string, cik string, feature_report_period date, target_report_period date")
+    def split(train):
+        return spark.createDataFrame([("f", date(2024, 9, 30), train)], "fold_id string, evaluation_target_quarter date, train_target_quarters array<date>")
+    assert {r.code for r in folds.audit_quarter_folds(rows, split([date(2024, 6, 30)])).collect()} == {"split_manager_quarter_overlap"}
+    assert {r.code for r in folds.audit_quarter_folds(rows.filter("example_id = 'e2'"), split([date(2024, 9, 30)])).collect()} == {
+        "split_example_overlap", "train_boundary_violation"}
+    assert folds.audit_quarter_folds(rows.filter("example_id = 'e2'"), split([date(2024, 6, 30)])).count() == 0
+
+
 def test_metric_vectors(spark):
     def metrics(truth, score):
         rows = [("m", date(2024, 6, 30), "A", f"k{i}", 1.0, float(t), float(s), 0, 0, 0, 0) for i, (t, s) in enumerate(zip(truth, score))]
