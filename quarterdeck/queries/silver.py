@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import ORIGINAL_FORM
+from ..functions.text import normalize_list_cusip
 from ..operators import cohort, filings as fl, holdings as hd, quality, reconcile as rc, validation
 from ..plans import silver as plan
 from ..session import save_stage
-from ..sources import driver_tables as given
+from ..sources import documents, driver_tables as given
 from .sql_twins import part, twin
 from .tables import Tables
 
@@ -363,3 +364,16 @@ ORDER BY report_period DESC, filing_date DESC, accession_number DESC LIMIT 20
 """)
 def recent_filings(t: Tables) -> DataFrame:
     return fl.recent_filings(t.filings(), 20)
+
+
+@query("official_list_match", """
+SELECT count(c) AS matched_holdings, count(*) AS total_holdings
+FROM holding_lines h LEFT JOIN (
+  SELECT DISTINCT regexp_replace(lpad(substr(p_brand, 7), 3, '0') || rpad(substr(p_type, 1, 6), 6, '*'), '[^A-Za-z0-9]', '', 'g') AS c FROM part) l
+  ON regexp_replace(h.cusip, '[^A-Za-z0-9]', '', 'g') = l.c
+""")
+def official_list_match(t: Tables) -> DataFrame:
+    """Every holding line against a reference list made of the part table."""
+    listed = given.table(t.spark, t.source, "part").groupBy(normalize_list_cusip(given.part_cusip()).alias("cusip")).agg(
+        F.min("p_name").alias("issuer_name")).withColumns({c: F.lit(None).cast("string") for c in ("class_title", "ticker")})
+    return documents.list_coverage(documents.enrich_with_list(t.lines(), listed))

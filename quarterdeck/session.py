@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 
-#: Sides up to this many rows may be broadcast explicitly after being counted.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(master: str | None = None, app: str = "quarterdeck", shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
