@@ -4,8 +4,8 @@ A text is lower-cased; every run of characters that are no letters stands as a w
 Its character 2-, 3- and 4-grams inside words (word ends included) are hashed into
 ``BUCKETS`` rows of an embedding table; the mean row goes through a linear softmax. Table
 and softmax are trained together by stochastic gradient descent in numpy on a bounded
-sample of labelled rows: per language the ``TRAIN_ROWS`` rows of the smallest text hash
-with at most ``TRAIN_CHARS`` characters. A fifth of the sample calibrates: a temperature
+sample of labelled rows: per language about ``TRAIN_ROWS`` rows, drawn by a hash, with
+at most ``TRAIN_CHARS`` characters. A fifth of the sample calibrates: a temperature
 that minimises its log loss, and the score below which a prediction is rejected, chosen
 so that at most ``LOST`` of its right predictions are lost.
 
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import held_out
 
 BUCKETS, DIMENSIONS = 1 << 16, 12
-TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
+#: about so many training rows of a language, none longer than this, of at most so many (most frequent) languages
+TRAIN_ROWS, TRAIN_CHARS, MOST_LANGUAGES = 1000, 20_000, 1000
 EPOCHS, RATE, BATCH = 4, 0.5, 16
 LOST = 0.001
 #: characters whose grams are held in memory at once
@@ -170,11 +171,12 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
 
 
 def learnable(docs: DataFrame) -> DataFrame:
-    """The bounded labelled sample that the model may see."""
+    """The labelled sample that the model may see: each language's rows by a hash, at the share that gives TRAIN_ROWS."""
     rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sized = rows.filter(F.length("text") <= TRAIN_CHARS).withColumn("h", F.xxhash64("text"))
-    return sized.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= TRAIN_ROWS).select("text", "lang")
+    shares = rows.groupBy("lang").agg((F.lit(float(TRAIN_ROWS)) / F.count("*")).alias("share"))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows.filter(F.length("text") <= TRAIN_CHARS).withColumn("chance", chance)
+    return near.join(F.broadcast(shares.orderBy("share").limit(MOST_LANGUAGES)), "lang").filter("chance < share").select("text", "lang")
 
 
 def fit(docs: DataFrame) -> dict | None:

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
 A multinomial logistic classifier over hashed words, fitted on a bounded sample of the
-labelled table (``TRAIN_ROWS`` labelled rows of the smallest text hash), gives every
+labelled table (about ``TRAIN_ROWS`` labelled rows drawn by a hash), gives every
 document a posterior over the domains ``high`` (good quality), ``low`` and ``toxic``. Nonnegative
 rates r are then fitted so that the expected tokens of each domain, sum of
 r * tokens * posterior, match target weights times the tokens of the corpus: projected
@@ -53,7 +53,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     truth = labels.select("doc_id", domain.cast("double").alias("_y")).filter("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(truth, "doc_id")
     share = min(1.0, TRAIN_ROWS / max(1, truth.count()))
-    return rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(_words(F.col("text")).alias("_w"), "_y")
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(_words(F.col("text")).alias("_w"), "_y")
 
 
 def classified(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:

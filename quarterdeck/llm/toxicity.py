@@ -12,7 +12,7 @@ r"""Toxicity of whole texts after noisy-channel deobfuscation.
    Among the labelled rows that may be learned from, one half (by text hash) selects the
    features that are far likelier in toxic texts; the other half fits a logistic score on
    their summed and largest weights and their number. Labels come from a bounded sample
-   of ``TRAIN_ROWS`` rows with the smallest text hash.
+   of about ``TRAIN_ROWS`` rows drawn by a hash.
 
 Scoring is a map over whole texts; tasks receive the trigram table and the selected
 features, both of bounded size. Decoded tokens are kept per worker up to a bound.
@@ -53,7 +53,7 @@ LATTICE = 64
 TRAIN_ROWS = 40_000
 LEAST_TOXIC, LEAST_Z, FEATURES = 3, 3.0, 4096
 THRESHOLD = 0.7
-KEPT_TOKENS = 600_000
+KEPT_TOKENS = 400_000
 _THRICE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<=\s)\S(?:[ \t]+\S(?!\S)){2,}|\A\S(?:[ \t]+\S(?!\S)){2,}")
 _RUN = re.compile(r"(.)\1*")
@@ -191,8 +191,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").filter("text is not null and doc_id is not null").join(truth, "doc_id")
     known = truth.count()
     share = 1.0 if known <= TRAIN_ROWS else TRAIN_ROWS / known
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    return rows.withColumn("h", h).filter(F.col("h") < int(share * 1_000_000)).select("doc_id", "text", F.col("y").cast("int").alias("y"), (F.col("h") % 2).cast("int").alias("half"))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")  # copies stay in one half
+    return rows.filter(h < int(share * 1_000_000)).select("doc_id", "text", F.col("y").cast("int").alias("y"), half.alias("half"))
 
 
 def _feature_counts(rows: DataFrame, logs) -> DataFrame:
