@@ -1,7 +1,7 @@
 """Removal of line passages that repeat across documents, by content-defined chunks.
 
 The lines of a text are hashed; a rolling hash over the last two line hashes chooses the
-chunk boundaries, so that an insertion moves only the boundaries beside it. Chunks of two
+chunk boundaries (never two in a row), so an insertion moves only those beside it. Chunks of two
 or more lines that occur more than once anywhere are removed, but for the first
 occurrence (smallest doc_id, nulls last, then chunk number).
 
@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import save_stage
 from .common import small_side
 
-#: a boundary follows every line whose rolling hash is a multiple of this: the mean chunk has so many lines
-DIVISOR = 3
+#: a boundary may follow every line whose rolling hash is a multiple of this; the mean chunk has about four lines
+DIVISOR = 2
 #: multiplier of the older line in the rolling hash
 OLDER = 31
 
@@ -40,8 +40,9 @@ def _line_hash(line: Column) -> Column:
 def spans(lines: Column, hashes: Column) -> Column:
     """Array of (first, last) line numbers of the chunks, counted from 0."""
     last = F.size(lines) - 1
-    rolling = lambda i: F.get(hashes, i - 1) * OLDER + F.get(hashes, i)
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i >= 1) & (rolling(i) % DIVISOR == 0)))
+    chosen = lambda i: (i >= 1) & ((F.get(hashes, i - 1) * OLDER + F.get(hashes, i)) % DIVISOR == 0)
+    # two boundaries in a row would leave a chunk of one line, so the second one does not count
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (chosen(i) & ~F.coalesce(chosen(i - 1), F.lit(False))))
     return F.transform(ends, lambda end, k: F.struct(
         F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).cast("int").alias("first"), end.cast("int").alias("last")))
 

@@ -52,8 +52,9 @@ WITH RECURSIVE lines AS (
   SELECT doc_id, i - 1 AS i, split[i] AS line, len(split) AS n FROM (
     SELECT doc_id, split, unnest(range(1, len(split) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS split FROM documents WHERE text IS NOT NULL))),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS v FROM lines),
-ended AS (
-  SELECT *, i = n - 1 OR (i >= 1 AND (lag(v) OVER w * {line_chunks.OLDER} + v) % {line_chunks.DIVISOR} = 0) AS closes FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+picked AS (
+  SELECT *, i >= 1 AND (lag(v) OVER w * {line_chunks.OLDER} + v) % {line_chunks.DIVISOR} = 0 AS chosen FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (SELECT *, i = n - 1 OR (chosen AND NOT coalesce(lag(chosen) OVER w, FALSE)) AS closes FROM picked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ended),
 chunks AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY 1, 2),
 placed AS (SELECT *, CASE WHEN size > 1 THEN row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, no) ELSE 1 END AS place FROM chunks)
