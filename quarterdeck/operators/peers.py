@@ -82,7 +82,7 @@ def peer_statistics(snaps: DataFrame, facts: DataFrame, cutoffs: DataFrame) -> D
     span = F.sequence(F.col("at"), F.coalesce("until", F.size("cutoffs")) - 1)
     return placed.select("t", "cutoffs", "security_key", "owners", "weight", F.explode(span).alias("k")).select(
         "t", F.get("cutoffs", F.col("k")).alias("cutoff"), "security_key",
-        F.col("owners").alias("peer_owner_count"), F.col("weight").alias("peer_aggregate_weight"),
+        F.col("owners").alias("peer_owner_count"), F.round("weight", ORDER_DECIMALS).alias("peer_aggregate_weight"),
     )
 
 

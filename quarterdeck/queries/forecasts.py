@@ -68,29 +68,19 @@ def _forecast(model: str):
              round(predicted, {decimals}) AS predicted_weight, predicted_rank FROM predictions WHERE model = '{model}'"""
 
 
-for _name, _model in (("forecast_persistence", "persistence"), ("forecast_ema", "ema")):
+for _name, _model in (("forecast_persistence", "persistence"), ("forecast_ema", "ema"), ("forecast_popularity", "institutional_popularity")):
     _run, _sql = _forecast(_model)
     query(_name, _sql)(_run)
 
 
-@query("forecast_popularity", """
-SELECT example_id, cik, security_key, target_report_period, round(aggregate_weight, 6) AS predicted_weight FROM gold
-""")
-def forecast_popularity(t: Tables) -> DataFrame:
-    rows = fc.prediction_rows(t.gold(), {"institutional_popularity": fc.simple_forecasts()["institutional_popularity"]})
-    return rows.select("example_id", "cik", "security_key", "target_report_period", F.round("predicted_weight", 6).alias("predicted_weight"))
-
-
-NOT_TIED = "model <> 'institutional_popularity'"  # sums of many weights tie only up to rounding
 GROUP = "model, target_report_period, cik"
 
 
 def _columns(*names: str, digits: int = 6):
     def run(t: Tables) -> DataFrame:
-        source = fc.manager_quarter_metrics(predictions(t).filter(NOT_TIED))
-        return source.select(*fc.GROUP, *[F.round(n, digits).alias(n) for n in names])
+        return metrics(t).select(*fc.GROUP, *[F.round(n, digits).alias(n) for n in names])
 
-    return run, f"SELECT {GROUP}, {', '.join(f'round({n}, {digits}) AS {n}' for n in names)} FROM mq_metrics WHERE {NOT_TIED}"
+    return run, f"SELECT {GROUP}, {', '.join(f'round({n}, {digits}) AS {n}' for n in names)} FROM mq_metrics"
 
 
 for _name, _names in (
@@ -110,20 +100,20 @@ def weight_errors(t: Tables) -> DataFrame:
 
 @query("metric_slices", f"""
 SELECT model, target_report_period, manager_cohort, count(*) AS manager_quarter_groups, {', '.join(f'round(avg({m}), 6) AS {m}' for m in fc.METRICS)}
-FROM mq_metrics WHERE {NOT_TIED} GROUP BY GROUPING SETS ((model), (model, target_report_period), (model, manager_cohort))
+FROM mq_metrics GROUP BY GROUPING SETS ((model), (model, target_report_period), (model, manager_cohort))
 """)
 def metric_slices(t: Tables) -> DataFrame:
-    s = fc.metric_slices(metrics(t).filter(NOT_TIED))
+    s = fc.metric_slices(metrics(t))
     return s.withColumns({m: F.round(m, 6) for m in fc.METRICS})
 
 
 @query("fold_summary", f"""
 SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_across_folds, count(*) AS folds FROM (
   {' UNION ALL '.join(f"SELECT model, target_report_period, '{m}' AS metric, avg({m}) AS value FROM mq_metrics GROUP BY 1, 2" for m in fc.METRICS)})
-WHERE {NOT_TIED} AND target_report_period BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}' GROUP BY 1, 2
+WHERE target_report_period BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}' GROUP BY 1, 2
 """)
 def fold_summary(t: Tables) -> DataFrame:
-    s = fc.fold_summary(metrics(t).filter(NOT_TIED), folds.validation_folds(t.gold(), *VALIDATION))
+    s = fc.fold_summary(metrics(t), folds.validation_folds(t.gold(), *VALIDATION))
     return s.withColumns({"mean": F.round("mean", 6), "std_across_folds": F.round("std_across_folds", 6)})
 
 

@@ -14,7 +14,7 @@ from .tables import Tables
 # Fixed values of these reports.
 CAP = plan.NEGATIVE_LIMIT
 VALIDATION = ("1999-03-31", "2000-12-31")
-STUDIED_CAPS = (0, 25, 100)
+STUDIED_CAPS = (0, 100, 500)
 
 part("facts", """
   SELECT cik, report_period, max(available_at) AS available_at, count(*) AS holdings, sum(weight) AS weight_sum,
@@ -44,7 +44,7 @@ part("active", """
   SELECT t, c, cik, max(report_period) AS p FROM cuts JOIN facts ON report_period <= t AND available_at <= c GROUP BY ALL
 """)
 part("peer_stats", """
-  SELECT t, c, security_key, count(*) AS owners, sum(weight) AS aggregate_weight
+  SELECT t, c, security_key, count(*) AS owners, round(sum(weight), 10) AS aggregate_weight
   FROM active a JOIN silver s ON s.cik = a.cik AND s.report_period = a.p GROUP BY ALL
 """)
 part("negatives", """

@@ -18,23 +18,25 @@ from .sql_twins import part
 from .tables import Tables
 
 RULE_THRESHOLD = 40
-LABEL_IDS = 400
+# a change has the label of the id that its absolute value points at; ids run up to the largest one of the table
+LABEL_IDS_SQL = "(SELECT max(doc_id) + 1 FROM labels)"
 
 part("reviewed", f"""
-  SELECT alert_id AS event_id, a.*, coalesce(quality, 0) AS label, score / 100.0::DOUBLE AS p, CASE WHEN score >= {RULE_THRESHOLD} THEN 1 ELSE 0 END AS prediction,
+  SELECT alert_id AS event_id, a.*, quality AS label, score / 100.0::DOUBLE AS p, CASE WHEN score >= {RULE_THRESHOLD} THEN 1 ELSE 0 END AS prediction,
          CASE WHEN is_new_position THEN 'new_position' WHEN is_exited_position THEN 'exited_position' WHEN weight_delta > 0 THEN 'increased_position'
               ELSE 'decreased_position' END AS event_type
-  FROM assessed a LEFT JOIN labels ON doc_id = abs_value_delta_thousands % {LABEL_IDS}
+  FROM assessed a JOIN labels ON doc_id = abs_value_delta_thousands % {LABEL_IDS_SQL} WHERE quality IS NOT NULL
 """)
 
 
 def reviewed(t: Tables) -> DataFrame:
-    """Every change with a 0/1 truth from the given labels."""
+    """Every labelled change with its 0/1 truth from the given labels; changes without a label are left out."""
     def build() -> DataFrame:
-        truth = given.table(t.spark, t.source, "labels").select(F.col("doc_id").alias("label_id"), "quality")
-        rows = training(t).withColumn("label_id", F.col("abs_value_delta_thousands") % LABEL_IDS).join(truth, "label_id", "left")
+        truth = given.table(t.spark, t.source, "labels").select(F.col("doc_id").alias("label_id"), "quality").filter("quality is not null")
+        ids = given.table(t.spark, t.source, "labels").agg(F.max("doc_id") + 1).scalar()
+        rows = training(t).withColumn("label_id", F.col("abs_value_delta_thousands") % ids).join(truth, "label_id")
         return rows.withColumns({
-            "event_id": event_id("current_accession_number", "holding_key"), "label": F.coalesce("quality", F.lit(0)),
+            "event_id": event_id("current_accession_number", "holding_key"), "label": F.col("quality"),
             "score": F.col("rule_score") / F.lit(100.0), "prediction": (F.col("rule_score") >= RULE_THRESHOLD).cast("int"),
             "event_type": lb.event_type(),
         }).drop("label_id", "quality")
@@ -161,12 +163,22 @@ def mark_best(comparison: DataFrame) -> DataFrame:
 
 
 @query("prediction_coverage", """
-SELECT count(*) AS labelled_events, count(*) AS matched_events, 1.0::DOUBLE AS coverage FROM reviewed
+SELECT count(*) AS labelled_events, count(e.event_id) AS matched_events, CAST(count(e.event_id) AS DOUBLE) / count(*) AS coverage
+FROM reviewed r LEFT JOIN (SELECT alert_id AS event_id FROM assessed) e USING (event_id)
 """)
 def prediction_coverage(t: Tables) -> DataFrame:
     return lb.prediction_coverage(reviewed(t), baseline_predictions(t))
 
 
+@query("label_coverage", """
+SELECT count(*) AS labelled_events, count(r.event_id) AS matched_events, CAST(count(r.event_id) AS DOUBLE) / count(*) AS coverage
+FROM (SELECT alert_id AS event_id FROM assessed) e LEFT JOIN reviewed r USING (event_id)
+""")
+def label_coverage(t: Tables) -> DataFrame:
+    """Share of all changes that have a label."""
+    return lb.prediction_coverage(training(t), reviewed(t))
+
+
 @query("alerts_with_predictions")
 def alerts_with_predictions(t: Tables) -> DataFrame:
     stored = baseline_predictions(t).select(
@@ -178,14 +190,14 @@ def alerts_with_predictions(t: Tables) -> DataFrame:
 
 
 # ---- fitted forecasts -------------------------------------------------------------------------
-def _last_folds(t: Tables) -> DataFrame:
-    return folds.validation_folds(t.gold(), VALIDATION[1], VALIDATION[1])
+def _folds(t: Tables) -> DataFrame:
+    return folds.validation_folds(t.gold(), *VALIDATION)
 
 
 def fitted(t: Tables) -> DataFrame:
-    """Predictions of all models over the last validation folds."""
+    """Predictions of all models over all validation folds."""
     def build() -> DataFrame:
-        parts = [fc.prediction_rows(rows, models) for _, rows, models in ml.walk_forward(t.gold(), _last_folds(t), boosted_rounds=10)]
+        parts = [fc.prediction_rows(rows, models) for _, rows, models in ml.walk_forward(t.gold(), _folds(t))]
         return reduce(DataFrame.unionByName, parts)
     return t.workspace.saved("fitted", build)
 
@@ -207,4 +219,4 @@ def action_logistic(t: Tables) -> DataFrame:
 
 @query("walk_forward_summary")
 def walk_forward_summary(t: Tables) -> DataFrame:
-    return fc.fold_summary(fc.manager_quarter_metrics(fitted(t)), _last_folds(t))
+    return fc.fold_summary(fc.manager_quarter_metrics(fitted(t)), _folds(t))
