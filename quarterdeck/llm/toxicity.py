@@ -153,7 +153,7 @@ class Words:
             if self.heads is None or word[:3] in self.heads:
                 names.add(f"{word}$" if len(word) < 40 else word[:40])
                 names.update(word[:n] for n in range(3, 1 + min(6, len(word))))
-        return names if self.weights is None else names.intersection(self.weights)
+        return names if self.weights is None else {name for name in names if name in self.weights}
 
     def of(self, text: str) -> set[str]:
         """Distinct features of a whole text."""
