@@ -34,7 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from ..session import save_stage
+from .common import held_out, small_side
 
 # Letters of the model's alphabet, and what signs may stand for.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -188,12 +189,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, y, half of the bounded sample that may be learned from."""
     truth = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     truth = truth.filter(~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text").filter("text is not null and doc_id is not null").join(truth, "doc_id")
-    known = truth.count()
-    share = 1.0 if known <= TRAIN_ROWS else TRAIN_ROWS / known
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    share = min(1.0, TRAIN_ROWS / max(1, truth.count()))
+    # labels are drawn before the join, so the joined side is bounded and texts need not move
+    drawn = save_stage(truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), "toxicity-labels")
+    rows = docs.select("doc_id", "text").filter("text is not null and doc_id is not null").join(small_side(drawn, 16), "doc_id")
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")  # copies stay in one half
-    return rows.filter(h < int(share * 1_000_000)).select("doc_id", "text", F.col("y").cast("int").alias("y"), half.alias("half"))
+    return save_stage(rows.select("doc_id", "text", F.col("y").cast("int").alias("y"), half.alias("half")), "toxicity-sample")
 
 
 def _feature_counts(rows: DataFrame, logs) -> DataFrame:
