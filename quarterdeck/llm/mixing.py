@@ -32,6 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import save_stage
+from .common import small_side
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.11, "toxic": 0.04}
@@ -51,9 +52,10 @@ def _hashing() -> HashingTF:
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.coalesce("quality", "toxic").isNotNull(), 0)
     truth = labels.select("doc_id", domain.cast("double").alias("_y")).filter("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(truth, "doc_id")
     share = min(1.0, TRAIN_ROWS / max(1, truth.count()))
-    return rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(_words(F.col("text")).alias("_w"), "_y")
+    drawn = save_stage(truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), "mixing-labels")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_side(drawn, 16), "doc_id")
+    return rows.select(_words(F.col("text")).alias("_w"), "_y")
 
 
 def classified(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
