@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 #: pre-tokens of at most so many bytes are merged together in arrays
 SHORT = 64
 #: pieces kept per worker, and the longest kept piece in characters
-CACHED, CACHED_CHARS = 1_200_000, 48
+CACHED, CACHED_CHARS = 350_000, 48
 #: characters of text handled at a time
 SLICE_CHARS = 1 << 20
 NONE = np.int32(2**31 - 1)
@@ -41,25 +42,30 @@ TREES = 4096
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """Token bytes by id."""
+    with open(path, "rb") as lines:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in lines if line.strip())}
+    return [ranks.get(rank, b"") for rank in range(max(ranks) + 1)]
+
+
 class Vocabulary:
     """Token bytes by id, and the id that each pair of ids merges into."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = token_bytes(path)
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = {}
+        keys, merged = array("q"), array("i")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[(a << 32) | b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+                    keys.append((a << 32) | b)
+                    merged.append(rank)
+        order = np.argsort(np.array(keys))
+        self.keys, self.merged = np.array(keys)[order], np.array(merged)[order]
         # most pairs are found, or found missing, at their hash; the rest by binary search
         self.slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
         self.slots[_slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
@@ -90,12 +96,12 @@ def merge_long(vocab: Vocabulary, data: bytes) -> list[int]:
     n = len(data)
     size = 1 << max(1, (n - 1).bit_length())
     ids, after, before = [int(vocab.bytes[b]) for b in data], list(range(1, n + 1)), list(range(-1, n - 1))
-    none, get = (1 << 62), vocab.pairs.get
+    none, get, tokens = (1 << 62), vocab.ranks.get, vocab.tokens
     tree = [none] * (2 * size)
 
     def leaf(i: int) -> int:
         j = after[i]
-        rank = get((ids[i] << 32) | ids[j]) if j < n else None
+        rank = get(tokens[ids[i]] + tokens[ids[j]]) if j < n else None
         return none if rank is None else rank * size + i
 
     def put(i: int, value: int) -> None:
@@ -284,7 +290,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the decoded bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = vocabulary(path).tokens.__getitem__
+        look = token_bytes(path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
