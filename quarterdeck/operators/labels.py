@@ -35,6 +35,27 @@ def review_queue(rows: DataFrame, limit: int = 300) -> DataFrame:
     )
 
 
+SCORE_BUCKETS = 1000
+
+
+def _score_bands(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds bucket, part and prefix: bands of falling scores whose number does not follow the rows.
+
+    A bucket is cut at its most frequent score; the rows of that score are spread by the
+    first characters of their event id.
+    """
+    bucketed = rows.withColumn("bucket", -F.floor(F.col("score") * SCORE_BUCKETS).cast("int"))
+    per_score = bucketed.groupBy(*keys, "bucket", "score").agg(F.count(F.lit(1)).alias("n"))
+    common = per_score.groupBy(*keys, "bucket").agg(F.max_by("score", F.struct("n", "score")).alias("common"))
+    common = common.withColumnsRenamed({c: f"of_{c}" for c in (*keys, "bucket")})
+    together = F.lit(True)
+    for c in (*keys, "bucket"):
+        together = together & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    part = F.when(F.col("score") > F.col("common"), 0).when(F.col("score") == F.col("common"), 1).otherwise(2)
+    return bucketed.join(common, together).select(*bucketed.columns, part.alias("part")).withColumn(
+        "prefix", F.when(F.col("part") == 1, F.substring("event_id", 1, 2)).otherwise(""))
+
+
 def binary_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and scores of each slice.
 
@@ -55,22 +76,23 @@ def binary_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         count((y == 1) & (p == 0)).alias("false_negative"),
         F.avg((F.col("score") - y) * (F.col("score") - y)).alias("brier_score"),
     )
+    banded = _score_bands(rows.select(*keys, "event_id", "label", "score"), keys)
     # average precision: position among all and among positives, by score
     ranked = rank_within(
-        rows, keys, [F.desc("score"), F.col("event_id")],
-        [-F.floor(F.col("score") * 1000).cast("int"), -F.col("score"), F.substring("event_id", 1, 10)],
+        banded, keys, [F.desc("score"), F.col("event_id")], [F.col("bucket"), F.col("part"), F.col("prefix")],
         "position", running={"hits": F.col("label").cast("long")},
     )
     precision = ranked.filter("label = 1").groupBy(*keys).agg(F.avg(F.col("hits") / F.col("position")).alias("pr_auc"))
-    # precision at the top: from counts per (score, label), labels of 1 first
-    levels = rows.groupBy(*keys, "score", "label").agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("label"))
-    size = F.sum("n").over(Window.partitionBy(*keys))
-    wanted = F.greatest(F.lit(1).cast("double"), F.bround(size * F.lit(TOP_FRACTION)))
-    taken = levels.withColumns({"until": F.sum("n").over(along), "wanted": wanted}).withColumn(
-        "taken", F.greatest(F.lit(0), F.least(F.col("n"), F.col("wanted") - F.col("until") + F.col("n"))))
-    top = taken.groupBy(*keys).agg(
-        (F.sum(F.when(F.col("label") == 1, F.col("taken")).otherwise(0)) / F.max("wanted")).alias("precision_at_top_10_percent"))
+    # precision at the top: labels of 1 first among equal scores
+    placed = rank_within(
+        banded, keys, [F.desc("score"), F.desc("label"), F.col("event_id")],
+        [F.col("bucket"), F.col("part"), F.when(F.col("part") == 1, -F.col("label")).otherwise(0), F.col("prefix")],
+        "position", totals={"n": F.lit(1)},
+    )
+    wanted = F.greatest(F.lit(1).cast("double"), F.bround(F.col("n") * F.lit(TOP_FRACTION)))
+    top = placed.withColumn("wanted", wanted).groupBy(*keys).agg(
+        (F.sum(F.when((F.col("label") == 1) & (F.col("position") <= F.col("wanted")), 1).otherwise(0)) / F.max("wanted"))
+        .alias("precision_at_top_10_percent"))
     joined = counts.join(precision, keys, "left").join(top, keys)
     tp, fp, fn = (F.col(f"{c}") for c in ("true_positive", "false_positive", "false_negative"))
     scored = joined.withColumns({
@@ -102,16 +124,22 @@ def prediction_coverage(labelled: DataFrame, predictions: DataFrame) -> DataFram
 
 
 def quantiles(rows: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
-    """Exact linear quantiles as one array, from ranks instead of one big sorted group."""
+    """Exact linear quantiles as one array, from counts per distinct value; equal values are one row."""
+    values = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("copies")).withColumn("all", F.lit(1))
     ranked = rank_within(
-        rows.select(F.lit(1).alias("all"), F.col(value).alias("x")), ["all"], [F.col("x")],
-        [F.floor(F.col("x") * 1000).cast("int"), F.col("x")], "position", totals={"n": F.lit(1)},
+        values, ["all"], [F.col("x")], [F.floor(F.col("x") * SCORE_BUCKETS).cast("int")], "place",
+        totals={"n": F.col("copies")}, running={"until": F.col("copies")},
     )
-    spots = ranked.select("x", "position", "n", F.posexplode(F.array(*[F.lit(f) for f in fractions])).alias("i", "f")).withColumn(
+    spots = ranked.select("x", "copies", "until", "n", F.posexplode(F.array(*[F.lit(f) for f in fractions])).alias("i", "f")).withColumn(
         "at", F.col("f") * (F.col("n") - 1) + 1)
-    near = spots.filter((F.col("position") == F.floor("at")) | (F.col("position") == F.floor("at") + 1))
-    edge = F.sum(F.when(F.col("position") == F.floor("at"), F.col("x") * (1 - (F.col("at") - F.floor("at"))))
-                 .otherwise(F.col("x") * (F.col("at") - F.floor("at"))))
+    share = F.col("at") - F.floor("at")
+
+    def covers(position: Column) -> Column:
+        return (position > F.col("until") - F.col("copies")) & (position <= F.col("until"))
+
+    weight = F.when(covers(F.floor("at")), 1 - share).otherwise(0.0) + F.when(covers(F.floor("at") + 1), share).otherwise(0.0)
+    near = spots.filter(covers(F.floor("at")) | covers(F.floor("at") + 1)).withColumn("weight", weight)
+    edge = F.sum(F.col("x") * F.col("weight"))
     edges = near.groupBy("i").agg(edge.alias("edge"))
     return edges.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "edge"))), lambda e: e["edge"]).alias("edges"))
 

@@ -52,7 +52,12 @@ def rank_within(
     placed = banded.withColumns({
         "__pos": F.row_number().over(cell).cast("long"), **{f"__run_{k}": F.sum(c).over(so_far) for k, c in running.items()},
     })
-    return placed.join(starts, on=cells).select(
+    # null keys and bands are groups like any other
+    starts = starts.withColumnsRenamed({c: f"__of_{c}" for c in cells})
+    together = F.lit(True)
+    for c in cells:
+        together = together & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(starts, together).select(
         *df.columns, (F.col("__start") + F.col("__pos")).alias(name), *totals,
         *[(F.col(f"__start_{k}") + F.col(f"__run_{k}")).alias(k) for k in running],
     )

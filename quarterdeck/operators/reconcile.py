@@ -111,13 +111,18 @@ def reason_counts(inventory: DataFrame) -> DataFrame:
 
 
 def source_integrity(files: DataFrame, manifest: DataFrame, forbidden_packages: tuple[str, ...] = ()) -> DataFrame:
-    """Each source file against the manifest: ok, missing, unexpected, changed or forbidden."""
+    """Each source file against the manifest: ok, missing, unexpected, changed or forbidden.
+
+    A file is forbidden if the manifest or its own name (the part before "_" or ".") names
+    a forbidden package, so one that is on disk but not listed is found as well.
+    """
     joined = files.alias("f").join(
         manifest.select("package", "file_name", F.col("size_bytes").alias("m_size"), F.col("sha256").alias("m_sha")),
         "file_name", "full_outer",
     )
     status = (
-        F.when(F.col("package").isin(*forbidden_packages), "forbidden") if forbidden_packages else F.when(F.lit(False), "")
+        F.when(F.col("package").isin(*forbidden_packages) | F.regexp_extract("file_name", r"^([^_.]*)", 1).isin(*forbidden_packages), "forbidden")
+        if forbidden_packages else F.when(F.lit(False), "")
     )
     status = (
         status.when(F.col("f.sha256").isNull(), "missing").when(F.col("m_sha").isNull(), "unexpected")

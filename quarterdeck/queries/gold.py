@@ -51,10 +51,9 @@ part("negatives", """
   SELECT m.cik, m.report_period, s.security_key, s.owners, s.aggregate_weight,
          row_number() OVER (PARTITION BY m.cik, m.report_period ORDER BY owners DESC, round(aggregate_weight, 10) DESC, s.security_key) AS pos
   FROM mq m JOIN peer_stats s ON s.t = m.report_period AND s.c = m.available_at
-       ANTI JOIN silver h ON h.cik = m.cik AND h.report_period = m.report_period AND h.security_key = s.security_key
-  WHERE status = 'eligible'
-""".replace("ANTI JOIN silver h ON h.cik = m.cik AND h.report_period = m.report_period AND h.security_key = s.security_key\n  WHERE status = 'eligible'",
-            "LEFT JOIN silver h ON h.cik = m.cik AND h.report_period = m.report_period AND h.security_key = s.security_key\n  WHERE status = 'eligible' AND h.cik IS NULL"))
+       LEFT JOIN silver h ON h.cik = m.cik AND h.report_period = m.report_period AND h.security_key = s.security_key
+  WHERE status = 'eligible' AND h.cik IS NULL
+""")
 part("candidate_rows", f"""
   SELECT cik, report_period, security_key, owners, aggregate_weight FROM negatives WHERE pos <= {CAP}
   UNION ALL
@@ -276,3 +275,56 @@ def leakage_audit(t: Tables) -> DataFrame:
     found = folds.audit_examples(examples).unionByName(folds.audit_quarter_folds(examples, split))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("issues")).unionByName(
         examples.agg(F.count(F.lit(1)).alias("issues")).select(F.lit("rows_checked").alias("code"), "issues"))
+
+
+# ---- planted faults ---------------------------------------------------------------------------
+# The first character of an example id says which fault it gets; the split evaluates the last quarter of the window.
+LAST = VALIDATION[1]
+
+part("faulty", """
+  SELECT example_id, left(example_id, 1) AS c, cik, report_period,
+         CASE WHEN left(example_id, 1) = '1' THEN last_day(target_report_period + INTERVAL 3 MONTH) ELSE target_report_period END AS target,
+         left(example_id, 1) = '2' AS early, left(example_id, 1) = '3' AS future
+  FROM gold
+""")
+part("faulty_sides", f"""
+  SELECT example_id AS id, cik, report_period, target, TRUE AS known, target < DATE '{LAST}' OR c = '4' AS train, target = DATE '{LAST}' OR (c = '5' AND target < DATE '{LAST}') AS evaluation FROM faulty
+  UNION ALL SELECT 'x' || example_id, NULL, NULL, NULL, FALSE, TRUE, FALSE FROM faulty WHERE c = '6'
+  UNION ALL SELECT 'y' || example_id, NULL, NULL, NULL, FALSE, FALSE, TRUE FROM faulty WHERE c = '7'
+""")
+
+
+@query("planted_faults", f"""
+SELECT code, count(*) AS issues FROM (
+  SELECT 'duplicate_example' AS code FROM faulty WHERE c = '0'
+  UNION ALL SELECT 'invalid_target_horizon' FROM faulty WHERE target <> last_day(report_period + INTERVAL 3 MONTH)
+  UNION ALL SELECT 'target_available_too_early' FROM faulty WHERE early
+  UNION ALL SELECT 'future_candidate' FROM faulty WHERE future
+  UNION ALL SELECT 'unknown_train_example' FROM faulty_sides WHERE NOT known AND train
+  UNION ALL SELECT 'unknown_evaluation_example' FROM faulty_sides WHERE NOT known AND evaluation
+  UNION ALL SELECT 'train_boundary_violation' FROM faulty_sides WHERE train AND target >= DATE '{LAST}'
+  UNION ALL SELECT 'evaluation_boundary_violation' FROM faulty_sides WHERE evaluation AND target <> DATE '{LAST}'
+  UNION ALL SELECT DISTINCT 'split_example_overlap' FROM faulty_sides WHERE train AND evaluation
+  UNION ALL SELECT DISTINCT 'split_manager_quarter_overlap' FROM (
+    SELECT cik FROM faulty_sides WHERE known GROUP BY cik, report_period HAVING bool_or(train) AND bool_or(evaluation))
+) GROUP BY code
+""")
+def planted_faults(t: Tables) -> DataFrame:
+    """The audit over examples and a split with planted faults: all ten codes are found."""
+    c = F.substring("example_id", 1, 1)
+    examples = t.gold().withColumns({
+        "target_report_period": F.when(c == "1", F.last_day(F.add_months("target_report_period", 3))).otherwise(F.col("target_report_period")),
+        "target_available_at": F.when(c == "2", F.col("feature_available_at")).otherwise(F.col("target_available_at")),
+        "security_first_seen_available_at": F.when(c == "3", F.date_add("feature_available_at", 1)).otherwise(F.col("security_first_seen_available_at")),
+    })
+    examples = save_stage(examples.unionByName(examples.filter(c == "0")), "planted-faults")
+    quarter, target = F.lit(LAST).cast("date"), F.col("target_report_period")
+
+    def side(name: str, condition, prefix: str = "") -> DataFrame:
+        return examples.filter(condition).select(F.lit("planted").alias("fold_id"), F.lit(name).alias("side"), F.concat(F.lit(prefix), "example_id").alias("example_id"))
+
+    membership = side("train", (target < quarter) | (c == "4")).unionByName(side("evaluation", (target == quarter) | ((c == "5") & (target < quarter))))
+    membership = membership.unionByName(side("train", c == "6", "x")).unionByName(side("evaluation", c == "7", "y"))
+    split = t.spark.range(1).select(F.lit("planted").alias("fold_id"), quarter.alias("evaluation_target_quarter"))
+    found = folds.audit_examples(examples).unionByName(folds.audit_split(examples, membership, split))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("issues"))

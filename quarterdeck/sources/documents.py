@@ -100,31 +100,27 @@ def information_table_names(indexes: DataFrame) -> DataFrame:
 def read_securities_list(spark: SparkSession, path: str) -> DataFrame:
     """Reference securities (CSV or TSV with optional preamble); the first row of a CUSIP wins.
 
-    The header is found once and its positions applied to every line, so the list itself
-    is parsed in parallel.
+    The header of each file is its first line with "cusip" in it; one aggregate finds them, and
+    every line is then cut by the positions of its own file's header, in parallel. A file
+    without a header is an error, as is a header without CUSIP and issuer columns.
     """
     lines = spark.read.text(path).withColumns({
         "file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "id": F.monotonically_increasing_id(),
     })
-    header = lines.filter(F.lower("value").contains("cusip")).orderBy("file", "block", "id").first()
-    if header is None:
+    spot = F.struct("block", "id")
+    titled = F.lower("value").contains("cusip")
+    headers = lines.groupBy("file").agg(
+        F.min(F.when(titled, spot)).alias("spot"), F.min_by(F.when(titled, F.col("value")), F.when(titled, spot)).alias("header"))
+    # a row per different header, and most lists have one
+    kinds = [row["header"] for row in headers.select("header").distinct().collect()]
+    if not kinds or None in kinds:
         raise ValueError("no header row with a CUSIP column")
-    separator = "\t" if header["value"].count("\t") >= max(1, header["value"].count(",")) else ","
-    names = next(csv.reader([header["value"]], delimiter=separator))
-    tidy = [" ".join("".join(ch if ch.isalnum() else " " for ch in n.lower()).split()) for n in names]
-    position = {
-        column: next((i for word in words for i, n in enumerate(tidy) if word in n), None) for column, words in LIST_HEADERS.items()
-    }
-    if position["cusip"] is None or position["issuer_name"] is None:
-        raise ValueError("CUSIP and issuer columns are needed")
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    after = F.struct("file", "block", "id") > F.struct(
-        *[F.lit(header[c]).alias(c) for c in ("file", "block", "id")])
-    cells = lines.filter(after).select("file", "block", "id", F.from_csv("value", schema, {"sep": separator}).alias("r"))
+    under = lines.join(headers.withColumnRenamed("file", "of_file"), F.col("file") == F.col("of_file")).filter(spot > F.col("spot"))
+    cells = [F.when(F.col("header") == kind, _list_cells(kind)) for kind in kinds]
+    cells = under.select("file", "block", "id", F.coalesce(*cells).alias("r"))
 
     def cell(column: str) -> Column:
-        i = position[column]
-        return F.lit(None).cast("string") if i is None else F.col(f"r.c{i}")
+        return F.col(f"r.{column}")
 
     rows = cells.select(
         "file", "block", "id", normalize_list_cusip(cell("cusip")).alias("cusip"), strip(cell("issuer_name")).alias("issuer_name"),
@@ -134,6 +130,20 @@ def read_securities_list(spark: SparkSession, path: str) -> DataFrame:
     return first.select("cusip", "s.*")
 
 
+def _list_cells(header: str) -> Column:
+    """The list columns of a line below this header."""
+    separator = "\t" if header.count("\t") >= max(1, header.count(",")) else ","
+    names = next(csv.reader([header], delimiter=separator))
+    tidy = [" ".join("".join(ch if ch.isalnum() else " " for ch in n.lower()).split()) for n in names]
+    position = {
+        column: next((i for word in words for i, n in enumerate(tidy) if word in n), None) for column, words in LIST_HEADERS.items()
+    }
+    if position["cusip"] is None or position["issuer_name"] is None:
+        raise ValueError("CUSIP and issuer columns are needed")
+    row = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": separator})
+    return F.struct(*[(F.lit(None).cast("string") if i is None else row[f"c{i}"]).alias(c) for c, i in position.items()])
+
+
 def enrich_with_list(lines: DataFrame, securities: DataFrame, source_label: str = "official list") -> DataFrame:
     """Attach reference names by normalised CUSIP; unmatched lines keep what they had."""
     listed = securities.select(

@@ -55,6 +55,14 @@ def test_securities_list_and_enrichment(spark, tmp_path):
     assert tuple(doc.list_coverage(rich).first()) == (1, 2)
 
 
+def test_securities_list_of_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Issuer,CUSIP,Class\nFIRST,111111111,COM\n")
+    (tmp_path / "b.tsv").write_text("note\nCUSIP\tIssuer Description\tStatus\n222222222\tSECOND\tNEW\n")
+    listed = doc.read_securities_list(spark, str(tmp_path))
+    assert {(r.cusip, r.issuer_name, r.class_title, r.status) for r in listed.collect()} == {
+        ("111111111", "FIRST", "COM", None), ("222222222", "SECOND", None, "NEW")}
+
+
 def test_source_integrity(spark, tmp_path):
     for n in ("a.zip", "b.zip", "x.zip"):
         (tmp_path / n).write_text(n)
@@ -62,6 +70,9 @@ def test_source_integrity(spark, tmp_path):
     shas = {r.file_name: r.sha256 for r in files.collect()}
     manifest = spark.createDataFrame([("a", "a.zip", 5, shas["a.zip"]), ("b", "b.zip", 5, "0"), ("c", "c.zip", 5, "0")], "package string, file_name string, size_bytes long, sha256 string")
     assert {r.file_name: r.status for r in rc.source_integrity(files, manifest).collect()} == {"a.zip": "ok", "b.zip": "changed", "c.zip": "missing", "x.zip": "unexpected"}
+    # forbidden by the manifest and, for the unlisted file, by its name
+    assert {r.file_name: r.status for r in rc.source_integrity(files, manifest, ("x", "b")).collect()} == {
+        "a.zip": "ok", "b.zip": "forbidden", "c.zip": "missing", "x.zip": "forbidden"}
 
 
 def test_keyed_replace_and_portfolios(spark, tmp_path):
