@@ -171,6 +171,16 @@ def forecast_page(predictions: DataFrame, cik: str | None = None, target_quarter
     return rows.orderBy("cik", "predicted_rank", "security_key").offset(offset).limit(limit)
 
 
+def forecast_runs(predictions: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Stored runs, newest first: a page of one row per run, with its size and the number of all runs."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
+    runs = predictions.groupBy("run_id", "target_report_period", "generated_at").agg(F.count(F.lit(1)).alias("prediction_count"))
+    total = runs.agg(F.count(F.lit(1)).alias("run_count"))
+    page = runs.orderBy(F.desc("generated_at"), F.desc("run_id")).offset(offset).limit(limit)
+    return page.withColumn("run_count", total.scalar())
+
+
 def forecast_total(predictions: DataFrame, cik: str, target_quarter: str) -> DataFrame:
     return predictions.filter(
         (F.col("cik") == cik) & (F.col("target_report_period") == F.lit(target_quarter).cast("date"))

@@ -40,15 +40,21 @@ def summed_holdings(filings: DataFrame, holdings: DataFrame, cutover: str = UNIT
 
 
 def last_holdings(filings: DataFrame, holdings: DataFrame, cutover: str = UNIT_CHANGE_DATE) -> DataFrame:
-    """Effective holdings by detailed key where the last line wins, inside and across filings."""
+    """Effective holdings by detailed key where the last line wins, inside and across filings.
+
+    ``filing_date`` and ``effective_accession_number`` are those of the manager-quarter's last filing.
+    """
     chain = effective_filing_rows(filings).select("accession_number", *MANAGER_QUARTER, "filing_date", "position")
     valid = holdings.filter(F.col("reason").isNull()).drop("reason")
     lines = _lines_of(chain, valid, cutover).withColumn("security_key", detailed_key())
     last = F.struct("position", row_key_order("info_table_key").alias("k"), "value_usd", "shares_or_principal", "issuer_name")
     kept = [c for c in lines.columns if c not in (*MANAGER_QUARTER, "security_key", "position", "reported_value", "filing_date")]
+    selected = chain.groupBy(*MANAGER_QUARTER).agg(
+        F.max_by(F.struct("filing_date", F.col("accession_number").alias("effective_accession_number")), "position").alias("selected"))
     return lines.groupBy(*MANAGER_QUARTER, "security_key").agg(
         F.max_by(F.struct(*kept), last).alias("line")
-    ).select(*MANAGER_QUARTER, "security_key", "line.*").withColumnRenamed("accession_number", "source_accession_number")
+    ).select(*MANAGER_QUARTER, "security_key", "line.*").withColumnRenamed("accession_number", "source_accession_number").join(
+        selected, list(MANAGER_QUARTER)).select("*", "selected.*").drop("selected")
 
 
 def weigh_and_rank(effective: DataFrame, row_key: str | None = None) -> DataFrame:

@@ -10,9 +10,10 @@ ELIGIBLE, NO_NEXT_QUARTER, TARGET_KNOWN = "eligible", "no_next_quarter", "target
 
 
 def snapshots(silver: DataFrame) -> DataFrame:
-    """Holdings as point-in-time rows; the filing date is the security's availability."""
+    """Holdings of either build as point-in-time rows; the filing date is the security's availability."""
+    available = "available_at" if "available_at" in silver.columns else "filing_date"
     return silver.select(
-        "cik", "report_period", F.col("available_at").alias("filing_date"), "security_key", "cusip", "issuer_name",
+        "cik", "report_period", F.col(available).alias("filing_date"), "security_key", "cusip", "issuer_name",
         F.col("portfolio_weight").alias("weight"), F.col("holding_rank").cast("long").alias("rank"), "value_usd",
     )
 

@@ -150,3 +150,18 @@ def forecast_page(t: Tables) -> DataFrame:
 def forecast_total(t: Tables) -> DataFrame:
     saved = t.workspace.saved("forecast_table", lambda: _materialised(t))
     return fc.forecast_total(saved, SERVED_MANAGER, TARGET_QUARTER)
+
+
+# A run for each target quarter, generated when its last feature became available
+@query("forecast_runs", """
+SELECT *, count(*) OVER () AS run_count FROM (
+  SELECT 'persistence-' || CAST(target_report_period AS VARCHAR) AS run_id, target_report_period, max(available_at) AS generated_at, count(*) AS prediction_count
+  FROM predictions WHERE model = 'persistence' GROUP BY 1, 2)
+QUALIFY row_number() OVER (ORDER BY generated_at DESC, run_id DESC) BETWEEN 3 AND 12
+""")
+def forecast_runs(t: Tables) -> DataFrame:
+    """The second page of the list of runs."""
+    rows = predictions(t).filter("model = 'persistence'")
+    generated = rows.groupBy("target_report_period").agg(F.max("feature_available_at").alias("generated_at"))
+    stored = rows.join(generated, "target_report_period").withColumn("run_id", F.concat(F.lit("persistence-"), F.col("target_report_period").cast("string")))
+    return fc.forecast_runs(stored, limit=10, offset=2)

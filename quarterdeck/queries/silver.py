@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import ORIGINAL_FORM
 from ..functions.text import normalize_list_cusip
-from ..operators import cohort, filings as fl, holdings as hd, quality, reconcile as rc, validation
+from ..operators import cohort, filings as fl, holdings as hd, portfolios, quality, reconcile as rc, validation
 from ..plans import silver as plan
 from ..session import save_stage
 from ..sources import documents, driver_tables as given
@@ -377,3 +377,30 @@ def official_list_match(t: Tables) -> DataFrame:
     listed = given.table(t.spark, t.source, "part").groupBy(normalize_list_cusip(given.part_cusip()).alias("cusip")).agg(
         F.min("p_name").alias("issuer_name")).withColumns({c: F.lit(None).cast("string") for c in ("class_title", "ticker")})
     return documents.list_coverage(documents.enrich_with_list(t.lines(), listed))
+
+
+@query("snapshots_v1", """
+SELECT s.cik, s.report_period, detail_key AS security_key, l.filing_date, l.accession_number AS effective_accession_number,
+       CAST(row_number() OVER (PARTITION BY s.cik, s.report_period ORDER BY value_usd DESC, detail_key, CAST(row_no AS VARCHAR)) AS BIGINT) AS rank
+FROM silver_last s JOIN chain_last l ON l.cik = s.cik AND l.report_period = s.report_period
+""")
+def snapshots_v1(t: Tables) -> DataFrame:
+    """Point-in-time rows of the last-line-wins build, with the filing selected for the quarter."""
+    selected = t.silver_last().select("cik", "report_period", "security_key", "effective_accession_number")
+    snaps = portfolios.snapshots(t.silver_last()).select("cik", "report_period", "security_key", "filing_date", "rank")
+    return snaps.join(selected, ["cik", "report_period", "security_key"])
+
+
+@query("merged_snapshots", """
+SELECT holding_id, CAST(CASE WHEN quarter(report_period) = 2 THEN 1 ELSE 0 END AS BIGINT) AS duplicates,
+       CAST(CASE WHEN quarter(report_period) = 3 AND holding_id LIKE '0%' THEN 2 ELSE 1 END AS BIGINT) AS versions
+FROM (SELECT substr(sha256(cik || '|' || CAST(report_period AS VARCHAR) || '|' || detail_key), 1, 24) AS holding_id, report_period FROM silver_last)
+""")
+def merged_snapshots(t: Tables) -> DataFrame:
+    """A build merged with copies of its second quarters and changed rows of its third ones."""
+    build = hd.with_holding_id(portfolios.snapshots(t.silver_last()))
+    copies = build.filter(F.quarter("report_period") == 2)
+    changed = build.filter((F.quarter("report_period") == 3) & F.col("holding_id").startswith("0")).withColumn("value_usd", F.col("value_usd") + 1)
+    merged, conflicts = portfolios.merge_snapshots(build, copies, changed)
+    return merged.select("holding_id", "duplicates", F.lit(1).cast("long").alias("versions")).unionByName(
+        conflicts.select("holding_id", F.lit(0).cast("long").alias("duplicates"), "versions"))
