@@ -46,6 +46,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def set_aside(df: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``named`` under names that no operator uses, and what selects the columns as they were."""
+    names = {c: c if c in named else f"carried_{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()]), [F.col(name).alias(c) for c, name in names.items()]
+
+
 def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     """Null-safe equality of columns of the same names."""
     out = F.lit(True)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import save_stage
-from .common import small_side
+from .common import set_aside, small_side
 
 #: a boundary may follow every line whose rolling hash is a multiple of this; the mean chunk has about four lines
 DIVISOR = 2
@@ -88,15 +88,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its text after removal, and n_lines, lines_removed, chunks_removed (longs)."""
     gone = removed_chunks(docs)
     side = small_side(gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), F.col("gone").alias("_gone")), 80)
-    columns = [c for c in docs.columns if c not in ("text", "n_lines", "lines_removed", "chunks_removed")]
-    rows = docs.select(*columns, "text").withColumn("_row", _row_key())
+    given = docs.drop("n_lines", "lines_removed", "chunks_removed")
+    rows, carried = set_aside(given, "doc_id", "text")
+    rows = rows.withColumn("_row", _row_key())
     rows = rows.join(side, rows["doc_id"].eqNullSafe(side["_id"]) & (rows["_row"] == side["_r"]), "left").drop("_id", "_r")
     touched = F.col("_gone").isNotNull()
     rows = _with_spans(rows, touched).withColumn("_stays", F.filter("_spans", lambda s, k: ~F.array_contains("_gone", k)))
     kept = F.aggregate("_stays", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return rows.select(
-        *columns, F.when(touched, F.array_join(F.transform("_stays", _chunk), "\n")).otherwise(F.col("text")).alias("text"),
+        *[column for column, name in zip(carried, given.columns) if name != "text"],
+        F.when(touched, F.array_join(F.transform("_stays", _chunk), "\n")).otherwise(F.col("text")).alias("text"),
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.when(touched, F.size("_lines") - kept).otherwise(0).cast("long").alias("lines_removed"),
         F.when(touched, F.size("_gone")).otherwise(0).cast("long").alias("chunks_removed"))

@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import save_stage
-from .common import small_side
+from .common import set_aside, small_side
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.11, "toxic": 0.04}
@@ -59,22 +59,23 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """``docs`` with n_tokens and one posterior column per domain."""
+    """``docs`` with n_tokens and one posterior column per domain, which replace columns of the same names (as rate does)."""
     sample = save_stage(_hashing().transform(_labelled(docs, labels)).select("_x", "_y"), "mixing-sample")
     seen = [r["_y"] for r in sample.select("_y").distinct().collect()]
     names = [f"p_{name}" for name in DOMAINS]
-    rows = docs.select(*[c for c in docs.columns if c not in (*names, "n_tokens", "rate")]).withColumn("_w", _words(F.col("text")))
+    rows, carried = set_aside(docs.drop(*names, "n_tokens", "rate"), "doc_id", "text")
+    rows = rows.withColumn("_w", _words(F.col("text")))
     rows = rows.withColumn("n_tokens", F.size("_w").cast("long"))
     if len(seen) < 2:
         constant = [float(k == seen[0]) if seen else targets[name] for k, name in enumerate(DOMAINS)]
-        return rows.drop("_w").withColumns({name: F.lit(float(p)) for name, p in zip(names, constant)})
+        return rows.select(*carried, "n_tokens", *[F.lit(float(p)).alias(name) for name, p in zip(names, constant)])
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_g", rawPredictionCol="_r", family="multinomial",
                              maxIter=FIT_STEPS, regParam=0.002, standardization=False)
     model = fit.fit(sample)
     told = model.transform(_hashing().transform(rows)).withColumn("_p", vector_to_array("_p"))
     # classes above the largest label of the sample don't exist for the model
-    told = told.withColumns({name: F.coalesce(F.round(F.get("_p", F.lit(k)), DECIMALS), F.lit(0.0)) for k, name in enumerate(names)})
-    return told.drop("_w", "_x", "_p", "_g", "_r")
+    posteriors = [F.coalesce(F.round(F.get("_p", F.lit(k)), DECIMALS), F.lit(0.0)).alias(name) for k, name in enumerate(names)]
+    return told.select(*carried, "n_tokens", *posteriors)
 
 
 def _step(rate: Column, v: np.ndarray) -> Column:
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return out.withColumn("rate", F.round("rate", DECIMALS))
 
 
-def drawn(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def drawn(mixed: DataFrame, columns: list[Column]) -> DataFrame:
     """Whole copies of each row: the floor of its rate, and one more with the probability of the rest, by a hash of the row."""
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("rate") + chance).cast("int")

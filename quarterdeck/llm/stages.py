@@ -1,4 +1,10 @@
-"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and calls one operator."""
+"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and calls one operator.
+
+Defined results: all stages but the last return the columns they were given, also extra ones whose names an operator uses
+itself; an empty table gives no rows. Null, empty and letterless texts are rejected by the first stage; line dedup keeps every row;
+rows without an id stay in the near-copy stage, as do null and empty texts, which copy nothing; a row that repeats another
+stays or goes with it, and its copies are drawn alike. The last stage reads null as empty.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +12,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, chosen_path, language_id, line_chunks, mixing
-from .common import read, ship_code
+from .common import read, set_aside, ship_code
+
+
+#: columns of documents, the only ones the stages look at
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the others are rejected."""
     ship_code(spark)
     model = language_id.fit(docs)
-    return language_id.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    rows, carried = set_aside(docs, *DOCUMENT)
+    return language_id.identify(rows, model).filter(~F.col("rejected")).select(*carried)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated multi-line chunks; n_chars follows the text. Every row stays."""
-    out = line_chunks.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, carried = set_aside(docs, *DOCUMENT)
+    out = line_chunks.dedup_lines(rows)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*carried)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +44,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows drawn at their fitted rates: some twice, some not at all."""
-    return mixing.drawn(mixing.mix(docs, read(spark, sf_dir, "labels")), docs.columns)
+    rows, carried = set_aside(docs, *DOCUMENT)
+    return mixing.drawn(mixing.mix(rows, read(spark, sf_dir, "labels")), carried)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
