@@ -57,6 +57,11 @@ def finite_or_zero(c: Column | str) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """Text with that many decimals, halves to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
 def cosine(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Cosine of two short feature vectors; 0 when either norm is 0."""
     def dot(a, b):

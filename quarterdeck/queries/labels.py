@@ -217,6 +217,32 @@ def action_logistic(t: Tables) -> DataFrame:
     return fitted(t).filter("model = 'persistence'").select("example_id", "target_is_new", "predicted_is_new", "target_is_exit", "predicted_is_exit")
 
 
+FITTED = ", ".join(f"'{name}'" for name in ("intercept", *fc.FEATURES))
+
+
+@query("ridge_optimality", f"""
+SELECT quarter, feature, 0.0::DOUBLE AS gradient FROM fold_quarters CROSS JOIN (SELECT unnest([{FITTED}]) AS feature)
+WHERE quarter BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}'
+""")
+def ridge_optimality(t: Tables) -> DataFrame:
+    """The gradient of every fold's ridge loss vanishes at its fit."""
+    found = []
+    for fold in _folds(t).collect():  # one row per quarter
+        train = t.gold().filter(F.col("target_report_period").isin(list(fold["train_target_quarters"])))
+        found.append(ml.ridge_gradient(train).select(
+            F.lit(fold["evaluation_target_quarter"]).alias("quarter"), "feature", F.round("gradient", 6).alias("gradient")))
+    return reduce(DataFrame.unionByName, found)
+
+
+BASELINE_FITTED = ", ".join(f"'{name}'" for name in ("intercept", *ml.CHANGE_FEATURES))
+
+
+@query("baseline_optimality", f"SELECT unnest([{BASELINE_FITTED}]) AS feature, 0.0::DOUBLE AS gradient WHERE EXISTS (SELECT * FROM assessed)")
+def baseline_optimality(t: Tables) -> DataFrame:
+    """The gradient of the logistic baseline's loss vanishes at its fit."""
+    return ml.baseline_gradient(training(t)).select("feature", F.round("gradient", 3).alias("gradient"))
+
+
 @query("walk_forward_summary")
 def walk_forward_summary(t: Tables) -> DataFrame:
     return fc.fold_summary(fc.manager_quarter_metrics(fitted(t)), _folds(t))

@@ -82,7 +82,8 @@ class Tables:
         return gold.build_examples(self.held(), self.negatives(limit), portfolios.security_history(self.snapshots()))
 
     def gold(self) -> DataFrame:
-        return self._saved("gold", self.build_gold)
+        """Examples by target quarter, in files of even size: folds and forecasts read their quarters only."""
+        return self.workspace.saved("gold", lambda: self.build_gold().hint("rebalance", "target_report_period"), ("target_report_period",))
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         return save_stage(df, label)

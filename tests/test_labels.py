@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarterdeck.operators import labels as lb
+from quarterdeck.plans import learning as ml
 from quarterdeck.operators.ranking import rank_within
 
 
@@ -31,3 +32,45 @@ def test_ranks_keep_null_groups(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), (None, 1)], "k string, v int")
     ranked = rank_within(df, ["k"], [F.col("v")], [F.col("v")])
     assert {(r.k, r.v, r["rank"]) for r in ranked.collect()} == {("a", 1, 1), (None, 1, 1), (None, 2, 2)}
+
+
+def test_average_precision_counts_equal_scores_as_one_threshold(spark):
+    rows = [(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.5), (0, 0.5), (1, 0.1)]
+    got = lb.average_precision(spark.createDataFrame(rows, "label int, score double")).first()[0]
+    assert abs(got - (1 / 3 * 1 / 2 + 1 / 3 * 2 / 5 + 1 / 3 * 3 / 6)) < 1e-12
+    assert lb.average_precision(spark.createDataFrame([(0, 0.5)], "label int, score double")).first()[0] == 0.0
+
+
+def _changes(spark, odd: int):
+    """Changes of three folds whose label follows one feature; ``odd`` distorts the rows of fold 2 only."""
+    draw, rows = random.Random(8), []
+    for i in range(240):
+        fold = i % 3
+        values = [draw.random() for _ in ml.CHANGE_FEATURES]
+        label = int(values[2] > 0.5)
+        if fold == 2:
+            values = [v * (1 + 1000 * odd) for v in values]
+        rows.append((f"a{i:04d}", str(i), label, *values, fold))
+    columns = ", ".join(f"{c} double" for c in ml.CHANGE_FEATURES)
+    df = spark.createDataFrame(rows, f"current_accession_number string, holding_key string, weak_label int, {columns}, fold int")
+    return df.drop("fold"), df.select("current_accession_number", "fold")
+
+
+def test_validation_rows_reach_no_fit(spark):
+    """Scaling, weights and coefficients of a fold are the same whatever its validation rows hold."""
+    told = []
+    for odd in (0, 1):
+        rows, folds = _changes(spark, odd)
+        train = rows.join(folds, "current_accession_number").filter("fold <> 2")
+        n, prepare = ml.training_part(train)
+        estimator, grid = ml.candidate_models(n)["logistic_regression"]
+        told.append((n, estimator.fit(prepare(train), grid[1]).coefficients.toArray().round(9).tolist()))
+    assert told[0] == told[1] and told[0][0] == 160
+
+
+def test_search_finds_the_feature(spark):
+    rows, folds = _changes(spark, 0)
+    found = {name: (cv, parameters, scored.count()) for name, cv, parameters, scored in ml.compare_classifiers(
+        rows, folds, ["logistic_regression", "decision_tree"], full=False)}
+    assert set(found) == {"logistic_regression", "decision_tree"}
+    assert all(cv > 0.9 and n == 240 for cv, _, n in found.values()) and "maxDepth" in found["decision_tree"][1]
