@@ -36,6 +36,7 @@ JOBS = {
     "leakage_audit": "leakage_audit",
     "forecast_materialisation": "forecast_materialisation",
     "forecast_page": "forecast_page",
+    "forecast_page_again": "forecast_page",
     "forecast_metrics": forecasts.metrics,
     "position_deltas": changes.deltas,
     "materiality_scores": changes.assessed,

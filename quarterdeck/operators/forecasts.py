@@ -62,7 +62,9 @@ def manager_quarter_metrics(predictions: DataFrame) -> DataFrame:
     """All metrics of each (model, quarter, manager).
 
     A group is one manager's candidate list: its holdings plus the candidate cap, so it is
-    bounded by the listed securities. Every window shares one partitioning.
+    bounded by the listed securities. Every window shares one partitioning and there are two
+    sorts, by score and by truth: average ranks count from the top, which leaves their
+    correlation as it is.
     """
     group = Window.partitionBy(*GROUP)
     truth, score = F.col("target_weight"), F.col("predicted_weight")
@@ -71,12 +73,13 @@ def manager_quarter_metrics(predictions: DataFrame) -> DataFrame:
         return F.row_number().over(group.orderBy(c.desc(), F.col("security_key")))
 
     def average_rank(c: Column) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*GROUP, c))
-        return F.rank().over(group.orderBy(c)) + (ties - 1) / F.lit(2.0)
+        falling = group.orderBy(c.desc())
+        ties = F.count(F.lit(1)).over(falling.rangeBetween(Window.currentRow, Window.currentRow))
+        return F.rank().over(falling) + (ties - 1) / F.lit(2.0)
 
-    placed = predictions.withColumns({
-        "by_score": place(score), "by_truth": place(truth), "r_truth": average_rank(truth), "r_score": average_rank(score),
-    })
+    # in this order the sort for a place serves the average rank as well
+    placed = predictions.withColumn("by_score", place(score)).withColumn("r_score", average_rank(score))
+    placed = placed.withColumn("by_truth", place(truth)).withColumn("r_truth", average_rank(truth))
 
     def gain(position: str, k: int) -> Column:
         return F.coalesce(F.sum(F.when(F.col(position) <= k, truth / F.log2(F.col(position) + 1))), F.lit(0.0))
