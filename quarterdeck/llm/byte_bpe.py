@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 #: pre-tokens of at most so many bytes are merged together in arrays
 SHORT = 64
 #: pieces kept per worker, and the longest kept piece in characters
-CACHED, CACHED_CHARS = 350_000, 48
+CACHED, CACHED_CHARS = 150_000, 48
 #: characters of text handled at a time
 SLICE_CHARS = 1 << 20
 NONE = np.int32(2**31 - 1)
