@@ -68,6 +68,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_passage_dedup")
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as in op4_line_dedup, whose twin fixes its results, and whole runs besides."""
+    return line_chunks.dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_exact_dedup", r"""
 WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 placed AS (SELECT *, row_number() OVER w AS place, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size

@@ -28,9 +28,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated multi-line chunks; n_chars follows the text. Every row stays."""
+    """Texts without their repeated multi-line chunks and long runs; n_chars follows the text. Every row stays."""
     rows, carried = set_aside(docs, *DOCUMENT)
-    out = line_chunks.dedup_lines(rows)
+    out = line_chunks.dedup_passages(rows)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*carried)
 
 
