@@ -49,8 +49,8 @@ _CODES = np.array([_CODE.get(chr(c), 1 if chr(c).isalpha() else 0) for c in rang
 
 #: channel costs, in nats
 SWAP, DROP, SPLIT, SIGN, SINGLE = 1.0, 0.7, 1.0, 9.0, 3.0
-#: tokens of more characters than this are cut before decoding
-LATTICE = 64
+#: readings of longer tokens are not kept
+KEPT_LENGTH = 64
 TRAIN_ROWS = 40_000
 LEAST_TOXIC, LEAST_Z, FEATURES = 3, 3.0, 4096
 THRESHOLD = 0.7
@@ -107,8 +107,8 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The likeliest reading, words separated by spaces."""
-        logs = self.logs
-        states = {(0, 0): (0.0, "")}
+        logs, settled = self.logs, []
+        states: dict = {(0, 0): (0.0, None)}  # score, and the letters so far as a chain that readings share
         for run in _RUN.finditer(token):
             best: dict = {}
             for emitted, cost in self.choices(run[1], run.end() - run.start()):
@@ -123,9 +123,22 @@ class Restorer:
                         x, y = y, c
                     old = best.get((x, y))
                     if old is None or value > old[0]:
-                        best[(x, y)] = (value, text + shown)
+                        best[(x, y)] = (value, (text, shown) if shown else text)
             states = best
-        return max(states.items(), key=lambda s: s[1][0] + logs[s[0][0]][s[0][1]][0])[1][1]
+            if len(states) == 1:  # all readings share what is before
+                (state, (score, text)), = states.items()
+                settled.append(_spelled(text))
+                states = {state: (score, None)}
+        last = max(states.items(), key=lambda s: s[1][0] + logs[s[0][0]][s[0][1]][0])[1][1]
+        return "".join(settled) + _spelled(last)
+
+
+def _spelled(chain: tuple | None) -> str:
+    parts = []
+    while chain is not None:
+        chain, shown = chain
+        parts.append(shown)
+    return "".join(reversed(parts))
 
 
 class Words:
@@ -146,7 +159,7 @@ class Words:
         if not any(c.isalpha() for c in bare):
             return []
         bare = token.strip(".,;:?\"'%&#~`^_=/\\-<>[]{}")
-        return [word for at in range(0, len(bare), LATTICE) for word in self.restorer.decode(bare[at:at + LATTICE]).split()]
+        return self.restorer.decode(bare).split()
 
     def features(self, token: str) -> set[str]:
         names = set()
@@ -161,8 +174,7 @@ class Words:
         text = text.lower()
         tokens = set(text.split())
         for span in _SPACED.findall(text) if _SPACED.search(text) else ():
-            joined = "\u200b".join(span.split())  # a separator that may be dropped or end a word
-            tokens.update(joined[at:at + LATTICE] for at in range(0, len(joined), LATTICE))
+            tokens.add("\u200b".join(span.split()))  # a separator that may be dropped or end a word
         if len(self.nothing) + len(self.kept) > KEPT_TOKENS:
             self.kept, self.nothing = {}, set()
         tokens.difference_update(self.nothing)
@@ -171,7 +183,9 @@ class Words:
             found = self.kept.get(token)
             if found is None:
                 found = self.features(token)
-                if found:
+                if len(token) > KEPT_LENGTH:
+                    pass
+                elif found:
                     self.kept[token] = found
                 else:
                     self.nothing.add(token)
