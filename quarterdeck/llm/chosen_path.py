@@ -24,7 +24,7 @@ all alike grows with n squared, as its links do, spread over tiles.
 Defined results: one row per document row: doc_id, class_id (the smallest doc_id of its
 class), n_links (rows linked with it, copies included) . Null and empty texts have no
 shingles, link to nothing and are their own class, as are rows with a null id (class
-null). Rows that repeat an id are linked like any rows but share the id. Empty table: no
+null). Rows that repeat an id, with one text or several, are linked like any rows but share the id. Empty table: no
 rows. Other columns are ignored.
 """
 
@@ -58,6 +58,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+def _keys(w: Column) -> list[Column]:
+    """key1, key2 of a word sequence."""
+    return [F.xxhash64(w).alias("key1"), F.hash(w, F.size(w)).cast("long").alias("key2")]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX
     return (x ^ (x >> np.uint64(27))) * _ODD
@@ -130,7 +135,7 @@ def signatures(docs: DataFrame, runs: int, levels: int) -> DataFrame:
                      _list_array(token, np.searchsorted(who[order], np.arange(part.num_rows + 1)))], ["doc_id", "key1", "key2", "n", "sketch", "picks"])
 
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    hashed = split.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.xxhash64("w").alias("key1"), F.hash("w", F.size("w")).cast("long").alias("key2"))
+    hashed = split.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), *_keys(F.col("w")))
     return hashed.mapInArrow(run, "doc_id long, key1 long, key2 long, n int, sketch binary, picks array<long>")
 
 
@@ -259,12 +264,12 @@ def pair_counts(sets: list[np.ndarray]) -> np.ndarray:
 def _exact_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     """id, linked (rows, copies counted), root (of a tree edge, or null) from exact comparisons within clusters.
 
-    ``clusters`` has id, copies, cluster and size.
+    ``clusters`` has id (of the member), doc_id, key1, key2, copies, cluster and size.
     """
-    side = small_side(clusters, 40)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), words(F.col("text")).alias("w"))
-    # of an id with several texts, the text of the class member is the one with its key
-    texts = texts.filter(F.size("w") > 0).withColumn("key1", F.xxhash64("w")).join(side, ["id", "key1"]).select(
+    side = small_side(clusters, 64)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    # of a doc_id with several texts, the text of the class member is the one with its keys
+    texts = texts.select("doc_id", "w", *_keys(F.col("w"))).join(side, ["doc_id", "key1", "key2"]).select(
         "id", "copies", "cluster", "size", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).dropDuplicates(["id"])
     tiles = _tiled(texts, "cluster", F.col("size"), TILE)
     keys = ["cluster", "x", "y"]
@@ -305,11 +310,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     runs, levels = plan(docs.count())
     signed = save_stage(signatures(docs, runs, levels), "paths-signatures")
     some = signed.filter("n > 0 and doc_id is not null")
-    members = some.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    members = save_stage(members, "paths-members")
-    # a row of each class member; ids that repeat with one text give one row
-    rows = some.join(members, ["key1", "key2"]).filter("doc_id = id").select("id", "key1", "key2", "copies", "n", "sketch", "picks").dropDuplicates(["id", "key1", "key2"])
-    # an id with several texts: members are told apart by a number of their own
+    members = some.groupBy("key1", "key2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # a doc_id with several texts has several members, so a member's id is a hash of its doc_id and keys
+    members = save_stage(members.withColumn("id", F.xxhash64("least", "key1", "key2")), "paths-members")
+    # a row of each class member; rows that repeat doc_id and text give one row
+    rows = some.join(members, ["key1", "key2"]).filter("doc_id = least").select(
+        "id", "doc_id", "key1", "key2", "copies", "n", "sketch", "picks").dropDuplicates(["id"])
     rows = save_stage(rows, "paths-rows")
     shared = [level for level in _nodes(rows, runs, levels)]
     nodes = shared[0]
@@ -318,11 +324,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     candidates = components(_sketch_links(nodes, rows))
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
     clusters = candidates.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
-    clusters = save_stage(clusters.join(rows.select("id", "key1", "copies"), "id"), "paths-clusters")
+    clusters = save_stage(clusters.join(rows.select("id", "doc_id", "key1", "key2", "copies"), "id"), "paths-clusters")
     links = save_stage(_exact_links(clusters, docs), "paths-links")
     classes = components(links.filter("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    classes = save_stage(classes.select(F.col("node").alias("id"), "root").join(members.select("id", "least"), "id"), "paths-classes")
+    names = save_stage(classes.groupBy("root").agg(F.min("least").alias("name")), "paths-names")
+    classes = classes.join(small_side(names, 16), "root").select("id", "name")
     counted = links.groupBy("id").agg(F.sum("linked").alias("linked"))
-    told = save_stage(members.join(counted, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
-        "key1", "key2", F.coalesce("root", "id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "paths-told")
+    told = save_stage(members.join(counted, "id", "left").join(classes, "id", "left").select(
+        "key1", "key2", F.coalesce("name", "least").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "paths-told")
     plain = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return some.select("doc_id", "key1", "key2").join(told, ["key1", "key2"]).select("doc_id", "class_id", "n_links").unionByName(plain)
