@@ -33,12 +33,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """``df`` marked for broadcast if its measured rows stay below :data:`BROADCAST_BYTES`, else as it is.
 
-    ``df`` should be a saved stage, as its rows are counted.
+    ``df`` should be a saved stage, as its rows are counted. Where rows hold texts or lists, ``row_bytes`` is
+    a column with the bytes of a row, and their sum is measured.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    total = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def held_out(doc_id: Column) -> Column:

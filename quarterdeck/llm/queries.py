@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, chosen_path, exact_copies, language_id, line_chunks, mixing, token_counts, topk, toxicity
+from . import byte_bpe, chat, chosen_path, exact_copies, language_id, line_chunks, merkle, mixing, periodic, token_counts, topk, toxicity, winnowing
 from .common import held_out, read, ship_code
 
 QUERIES, TWINS = {}, {}
@@ -139,3 +139,74 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mixing")
 def mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), keep=("doc_id",))
+
+
+def _leaf_sql(text: str) -> str:
+    told = ", ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({told}))"
+
+
+# crc32 of a decimal number, bit by bit
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))))"""
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """Nodes of all levels of the trees of ``base`` (tree, pos, n, digest), and the siblings of each."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, pos, n, digest FROM {base}
+  UNION ALL SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, n, pos // 3),
+{name}_sides AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos)"""
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree, {_leaf_sql('text')} AS digest,
+         CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS other FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_tree_sql('nodes', 'placed')},
+subroots AS (SELECT tree AS of, 'all' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1),
+{_tree_sql('upper', 'subroots')},
+folded AS (
+  SELECT doc_id, tree, pos AS leaf_pos, 0 AS level, pos, coalesce(other, digest) AS node, '' AS proof FROM placed
+  UNION ALL SELECT f.doc_id, f.tree, leaf_pos, f.level + 1, f.pos // 3, sha256(before || node || after), proof || before || after
+  FROM folded f JOIN nodes_sides s ON s.tree = f.tree AND s.level = f.level AND s.pos = f.pos),
+whole AS (
+  SELECT doc_id, of, leaf_pos, 0 AS level, r.pos, node, proof FROM (SELECT *, row_number() OVER (PARTITION BY tree, leaf_pos ORDER BY level DESC) AS top FROM folded) f
+  JOIN subroots r ON r.of = f.tree WHERE top = 1
+  UNION ALL SELECT w.doc_id, of, leaf_pos, w.level + 1, w.pos // 3, sha256(before || node || after), proof || before || after
+  FROM whole w JOIN upper_sides s ON s.level = w.level AND s.pos = w.pos)
+SELECT p.doc_id, p.digest AS leaf, r.digest AS subroot, u.digest AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = u.digest AS verified
+FROM (SELECT *, row_number() OVER (PARTITION BY of, leaf_pos ORDER BY level DESC) AS top FROM whole) w
+JOIN placed p ON p.tree = w.of AND p.pos = w.leaf_pos JOIN subroots r ON r.of = w.of JOIN upper u ON u.n = 1 WHERE w.top = 1
+""")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verdicts(merkle.manifest(read(spark, sf_dir, "documents"), merkle.without_line_ends()))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(read(spark, sf_dir, "documents"), periodic.repeated_tail))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op13_benchmark_contamination", f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS s FROM items)),
+texts AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM texts CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+hits AS (SELECT doc_id, s, size, words FROM (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS words FROM placed) JOIN (SELECT DISTINCT size, words FROM windows) USING (size, words)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits JOIN windows USING (size, words) WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(len(t.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+""")
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digests(winnowing.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
