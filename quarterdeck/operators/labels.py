@@ -102,18 +102,18 @@ def binary_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return scored.withColumn("f1", share_of(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall")))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
+def average_precision(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sum over falling scores of the recall gained times the precision there; equal scores are one threshold.
 
-    From counts per distinct score. ``scored`` needs label and score in 0..1; hand in a saved stage.
+    From counts per distinct score of each group. ``scored`` needs label and score in 0..1; hand in a saved stage.
     """
-    values = scored.groupBy("score").agg(F.count(F.lit(1)).alias("copies"), F.sum("label").alias("positives")).withColumn("all", F.lit(1))
+    values = scored.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("copies"), F.sum("label").alias("positives")).withColumn("all", F.lit(1))
     ranked = rank_within(
-        values, ["all"], [F.desc("score")], [-F.floor(F.col("score") * SCORE_BUCKETS).cast("int")], "place",
+        values, ["all", *keys], [F.desc("score")], [-F.floor(F.col("score") * SCORE_BUCKETS).cast("int")], "place",
         totals={"of_all": F.col("positives")}, running={"seen": F.col("copies"), "hits": F.col("positives")},
     )
     gained = F.sum(F.col("positives") * F.col("hits") / F.col("seen"))
-    return ranked.agg(F.coalesce(F.try_divide(gained, F.max("of_all")), F.lit(0.0)).alias("average_precision"))
+    return ranked.groupBy(*keys).agg(F.coalesce(F.try_divide(gained, F.max("of_all")), F.lit(0.0)).alias("average_precision"))
 
 
 def event_type() -> Column:

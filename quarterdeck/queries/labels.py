@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import event_id
 from ..operators import folds, forecasts as fc, labels as lb, validation
-from ..plans import learning as ml
+from ..plans import learning as ml, search
 from ..session import save_stage
 from ..sources import driver_tables as given
 from .changes import newest_alerts, training
@@ -141,19 +142,47 @@ def classifier_baseline(t: Tables) -> DataFrame:
     return lb.binary_metrics(scored).withColumn("log_loss", loss)
 
 
+def searched(t: Tables) -> DataFrame:
+    """One row per candidate model: its best point of the grid and the metrics of its refit; the best one flagged."""
+    def build() -> DataFrame:
+        rows, told, scored = training(t), [], []
+        for name, cv, parameters, scores in search.search(rows, lb.time_folds(rows, 3)):
+            told.append((name, cv, parameters))
+            scored.append(scores.select(F.lit(name).alias("model_name"), event_id("current_accession_number", "holding_key").alias("event_id"), "label", "prediction", "score"))
+        metrics = lb.binary_metrics(save_stage(reduce(DataFrame.unionByName, scored), "scored"), ["model_name"])
+        best = t.spark.createDataFrame(told, "model_name string, cross_validated_pr_auc double, best_params map<string,string>")
+        return mark_best(save_stage(best.join(metrics, "model_name").select(
+            *best.columns, "sample_count", "accuracy", "precision", "recall", "f1", "pr_auc"), "comparison"))
+    return t.workspace.saved("searched", build)
+
+
 @query("classifier_comparison")
 def classifier_comparison(t: Tables) -> DataFrame:
     """Candidate classifiers on time folds over the full grid of 26 points; best one flagged."""
-    rows = training(t)
-    found = []
-    for name, cv, parameters, scored in ml.compare_classifiers(rows, lb.time_folds(rows, 3)):
-        saved = save_stage(scored.select(
-            event_id("current_accession_number", "holding_key").alias("event_id"), "label", "prediction", "score"), f"scored_{name}")
-        found.append(lb.binary_metrics(saved).select(
-            F.lit(name).alias("model_name"), F.lit(cv).alias("cross_validated_pr_auc"),
-            F.create_map(*[F.lit(x) for kv in parameters.items() for x in kv]).alias("best_params"),
-            "accuracy", "precision", "recall", "f1", "pr_auc"))
-    return mark_best(reduce(DataFrame.unionByName, found))
+    return searched(t).drop("sample_count")
+
+
+_PARAMETERS = {model: "|".join(sorted(axes)) for model, axes in search.GRID.items()}
+_POINTS = Counter(model for model, _ in search.grid_points())
+
+
+@query("classifier_comparison_bounds", f"""
+SELECT model_name, parameters, points, (SELECT count(*) FROM assessed) AS sample_count, TRUE AS in_bounds, TRUE AS on_grid, 1::BIGINT AS best_models
+FROM (VALUES {', '.join(f"('{m}', '{_PARAMETERS[m]}', {_POINTS[m]}::BIGINT)" for m in search.GRID)}) g(model_name, parameters, points)
+""")
+def classifier_comparison_bounds(t: Tables) -> DataFrame:
+    """What any comparison must hold: every model scored on all rows by a point of its grid, metrics in 0..1, one best model by PR-AUC."""
+    metrics = ("cross_validated_pr_auc", "accuracy", "precision", "recall", "f1", "pr_auc")
+    grids = t.spark.createDataFrame([(m, [{k: str(v) for k, v in p.items()} for n, p in search.grid_points() if n == m]) for m in search.GRID],
+                                    "model_name string, listed array<map<string,string>>")
+    rows = searched(t).join(grids, "model_name")
+    best, highest = rows.agg(F.sum(F.col("is_best_model").cast("long"))).scalar(), rows.agg(F.max("pr_auc")).scalar()
+    flagged = rows.withColumns({"best_models": best, "highest": highest})
+    entries = F.array_sort(F.map_entries("best_params"))
+    return flagged.select(
+        "model_name", F.array_join(F.array_sort(F.map_keys("best_params")), "|").alias("parameters"), F.size("listed").cast("long").alias("points"), "sample_count",
+        reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in metrics] + [~F.col("is_best_model") | (F.col("pr_auc") == F.col("highest"))]).alias("in_bounds"),
+        F.exists("listed", lambda p: F.array_sort(F.map_entries(p)) == entries).alias("on_grid"), "best_models")
 
 
 def mark_best(comparison: DataFrame) -> DataFrame:
@@ -191,30 +220,112 @@ def alerts_with_predictions(t: Tables) -> DataFrame:
 
 # ---- fitted forecasts -------------------------------------------------------------------------
 def _folds(t: Tables) -> DataFrame:
-    return folds.validation_folds(t.gold(), *VALIDATION)
+    return t.workspace.saved("validation_folds", lambda: folds.validation_folds(t.gold(), *VALIDATION))
+
+
+def evaluated(t: Tables) -> DataFrame:
+    """Examples of the evaluated quarters, which are partitions of the stored gold table."""
+    return t.gold().filter(F.col("target_report_period").isin([f["evaluation_target_quarter"] for f in _folds(t).collect()]))
+
+
+def ridge_fits(t: Tables) -> DataFrame:
+    return t.workspace.saved("ridge_fits", lambda: ml.ridge_table(t.gold(), _folds(t)))
+
+
+def action_fits(t: Tables) -> DataFrame:
+    return t.workspace.saved("action_fits", lambda: ml.action_table(t.gold(), _folds(t)))
+
+
+def _ranked(rows: DataFrame, model: str) -> DataFrame:
+    kept = ("example_id", "cik", "security_key", "target_report_period")
+    stored = save_stage(rows.select(*kept, F.lit(model).alias("model"), F.col(model).alias("predicted_weight")), f"forecast-{model}")
+    return fc.predicted_ranks(stored).select(*kept, "predicted_weight", "predicted_rank")
+
+
+def ridge_forecast(t: Tables) -> DataFrame:
+    return t.workspace.saved("ridge_forecast", lambda: _ranked(ml.with_ridge(evaluated(t), ridge_fits(t)), "ridge"))
+
+
+def boosted_rows(t: Tables) -> DataFrame:
+    """Evaluated rows with the boosted forecast and everything that other forecasts and metrics need."""
+    needed = dict.fromkeys((*fc.KEPT, *fc.FEATURES))
+    return t.workspace.saved("boosted_rows", lambda: ml.boosted(t.gold(), evaluated(t).select(*needed), _folds(t)))
+
+
+def boosted_forecast(t: Tables) -> DataFrame:
+    return t.workspace.saved("boosted_forecast", lambda: _ranked(boosted_rows(t), "gradient_boosting"))
 
 
 def fitted(t: Tables) -> DataFrame:
-    """Predictions of all models over all validation folds."""
+    """Prediction rows of all five models over all validation folds, with the fitted actions."""
     def build() -> DataFrame:
-        parts = [fc.prediction_rows(rows, models) for _, rows, models in ml.walk_forward(t.gold(), _folds(t))]
-        return reduce(DataFrame.unionByName, parts)
+        told = ml.with_actions(ml.with_ridge(boosted_rows(t), ridge_fits(t)), action_fits(t))
+        models = fc.simple_forecasts() | {"ridge": F.col("ridge"), "gradient_boosting": F.col("gradient_boosting")}
+        return fc.prediction_rows(told, models)
     return t.workspace.saved("fitted", build)
 
 
-@query("forecast_ridge")
+_X = ("cw", "pw", "lw", "cw - pw", "cr", "pr", "pr - cr", "held", "since", "turnover", "hhi", "top10", "owners", "aggregate_weight")
+_N = len(_X)
+
+part("fold_rows", f"""
+  SELECT g.*, y - avg(y) OVER f AS dy, {', '.join(f"CASE WHEN stddev_pop(x{i}) OVER f > 1e-12 THEN (x{i} - avg(x{i}) OVER f) / stddev_pop(x{i}) OVER f ELSE 0 END AS z{i}" for i in range(_N))}
+  FROM (SELECT quarter, tw AS y, {', '.join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(_X))}
+        FROM gold JOIN fold_quarters ON target_report_period < quarter WHERE quarter BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}') g WINDOW f AS (PARTITION BY quarter)
+""")
+part("fold_systems", f"""
+  SELECT quarter, avg(y) AS level, [{', '.join('avg(x%d)' % i for i in range(_N))}] AS mean, [{', '.join('CASE WHEN stddev_pop(x%d) > 1e-12 THEN stddev_pop(x%d) ELSE 1 END' % (i, i) for i in range(_N))}] AS scale,
+         [{', '.join('[' + ', '.join(f"sum(z{i} * z{j})" + (' + 1' if i == j else '') for j in range(_N)) + f", sum(z{i} * dy)]" for i in range(_N))}] AS m
+  FROM fold_rows GROUP BY 1
+""")
+# elimination of one column a step; the systems are positive definite, so no rows are exchanged
+part("ridge_weights", f"""
+  WITH RECURSIVE solved AS (
+    SELECT quarter, level, mean, scale, 1 AS k, m FROM fold_systems
+    UNION ALL SELECT quarter, level, mean, scale, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda v: v / m[k][k])
+                ELSE list_transform(row, lambda v, j: v - row[k] / m[k][k] * m[k][j]) END) FROM solved WHERE k <= {_N})
+  SELECT quarter, level, mean, scale, list_transform(m, lambda row: row[{_N + 1}]) AS w FROM solved WHERE k = {_N + 1}
+""")
+part("ridge_predictions", f"""
+  SELECT example_id, cik, security_key, target_report_period,
+         greatest(0, level + {' + '.join(f"w[{i + 1}] * (({x}) - mean[{i + 1}]) / scale[{i + 1}]" for i, x in enumerate(_X))}) AS predicted
+  FROM gold JOIN ridge_weights ON target_report_period = quarter
+""")
+
+
+@query("forecast_ridge", """
+SELECT example_id, cik, security_key, target_report_period, round(predicted, 7) + 0.0 AS predicted_weight,
+       row_number() OVER (PARTITION BY target_report_period, cik ORDER BY predicted DESC, security_key) AS predicted_rank FROM ridge_predictions
+""")
 def forecast_ridge(t: Tables) -> DataFrame:
-    return fc.predicted_ranks(fitted(t).filter("model = 'ridge'"))
+    return ridge_forecast(t).withColumn("predicted_weight", F.round("predicted_weight", 7))
 
 
 @query("forecast_gbt")
 def forecast_gbt(t: Tables) -> DataFrame:
-    return fc.predicted_ranks(fitted(t).filter("model = 'gradient_boosting'"))
+    """Boosted forecasts of all validation folds with their ranks."""
+    return boosted_forecast(t)
+
+
+@query("forecast_gbt_ranks", f"""
+SELECT target_report_period, cik, count(*) AS candidates, count(*) AS distinct_ranks, 1::BIGINT AS first_rank, count(*) AS last_rank, 0::BIGINT AS misplaced, TRUE AS in_bounds
+FROM gold JOIN (SELECT quarter FROM fold_quarters WHERE quarter BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}' AND o > 1) ON target_report_period = quarter GROUP BY 1, 2
+""")
+def forecast_gbt_ranks(t: Tables) -> DataFrame:
+    """Each manager's boosted forecast ranks all its candidates once, by falling weight, and stays within the seen targets."""
+    ranks = Window.partitionBy("target_report_period", "cik").orderBy("predicted_rank")
+    rows = boosted_forecast(t).withColumn("above", F.lag("predicted_weight").over(ranks))
+    most = t.gold().agg(F.max("target_weight")).scalar()
+    return rows.groupBy("target_report_period", "cik").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_distinct("predicted_rank").alias("distinct_ranks"), F.min("predicted_rank").cast("long").alias("first_rank"),
+        F.max("predicted_rank").cast("long").alias("last_rank"), F.count_if(F.col("above") < F.col("predicted_weight")).alias("misplaced"),
+        ((F.min("predicted_weight") >= 0) & (F.max("predicted_weight") <= F.max(most))).alias("in_bounds"))
 
 
 @query("action_logistic")
 def action_logistic(t: Tables) -> DataFrame:
-    return fitted(t).filter("model = 'persistence'").select("example_id", "target_is_new", "predicted_is_new", "target_is_exit", "predicted_is_exit")
+    told = ml.with_actions(evaluated(t), action_fits(t))
+    return told.select("example_id", "target_is_new", "probability_new", "predicted_is_new", "target_is_exit", "probability_exit", "predicted_is_exit")
 
 
 FITTED = ", ".join(f"'{name}'" for name in ("intercept", *fc.FEATURES))
@@ -226,12 +337,17 @@ WHERE quarter BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}'
 """)
 def ridge_optimality(t: Tables) -> DataFrame:
     """The gradient of every fold's ridge loss vanishes at its fit."""
-    found = []
-    for fold in _folds(t).collect():  # one row per quarter
-        train = t.gold().filter(F.col("target_report_period").isin(list(fold["train_target_quarters"])))
-        found.append(ml.ridge_gradient(train).select(
-            F.lit(fold["evaluation_target_quarter"]).alias("quarter"), "feature", F.round("gradient", 6).alias("gradient")))
-    return reduce(DataFrame.unionByName, found)
+    return ml.ridge_gradients(t.gold(), _folds(t), ridge_fits(t)).withColumn("gradient", F.round("gradient", 6))
+
+
+@query("action_optimality", f"""
+SELECT quarter, action, feature, 0.0::DOUBLE AS gradient FROM fold_quarters CROSS JOIN (SELECT unnest([{FITTED}]) AS feature) CROSS JOIN (SELECT unnest(['new', 'exit']) AS action)
+WHERE quarter BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}'
+""")
+def action_optimality(t: Tables) -> DataFrame:
+    """The gradient of every fold's logistic loss vanishes at the fit of either action."""
+    found = [ml.action_gradients(t.gold(), _folds(t), action_fits(t), action).withColumn("action", F.lit(action)) for action in ml.ACTIONS]
+    return reduce(DataFrame.unionByName, found).select("quarter", "action", "feature", F.round("gradient", 6).alias("gradient"))
 
 
 BASELINE_FITTED = ", ".join(f"'{name}'" for name in ("intercept", *ml.CHANGE_FEATURES))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.operators import labels as lb
@@ -70,7 +71,17 @@ def test_validation_rows_reach_no_fit(spark):
 
 def test_search_finds_the_feature(spark):
     rows, folds = _changes(spark, 0)
-    found = {name: (cv, parameters, scored.count()) for name, cv, parameters, scored in ml.compare_classifiers(
-        rows, folds, ["logistic_regression", "decision_tree"], full=False)}
+
+    def candidates(n):
+        told = ml.candidate_models(n)
+        return {"logistic_regression": told["logistic_regression"], "decision_tree": (told["decision_tree"][0], told["decision_tree"][1][:4:3])}
+
+    found = {name: (cv, parameters, scored.count()) for name, cv, parameters, scored in ml.compare_classifiers(rows, folds, candidates)}
     assert set(found) == {"logistic_regression", "decision_tree"}
     assert all(cv > 0.9 and n == 240 for cv, _, n in found.values()) and "maxDepth" in found["decision_tree"][1]
+
+
+def test_average_precision_of_groups(spark):
+    rows = [(g, label, score) for g, some in ((1, [(1, 0.9), (0, 0.5), (1, 0.1)]), (2, [(0, 0.9), (1, 0.8)])) for label, score in some]
+    got = {r["g"]: r["average_precision"] for r in lb.average_precision(spark.createDataFrame(rows, "g int, label int, score double"), ["g"]).collect()}
+    assert got == {1: pytest.approx((1 + 2 / 3) / 2), 2: pytest.approx(0.5)}
