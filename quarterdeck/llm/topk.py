@@ -6,11 +6,13 @@ best k of each query; the lists are merged level by level, ``FAN_IN`` lists at a
 no task sees more than ``FAN_IN * k`` rows of a query. Each side is repeated once per
 block of the other side; nothing is broadcast and no pair leaves its tile.
 
-Components are integers floor(scale * x). Products run in float64 while every partial sum
-stays below 2**53 and is then exact; a tile whose bound is larger uses Python integers.
+Components are integers floor(scale * x), held as doubles: beyond 2**53 every double is an
+integer. Products run in float64 while every partial sum stays below 2**53 and is then exact; a
+tile whose bound is larger uses Python integers. A score beyond the range of a long counts as
+the nearest long.
 
-Defined results: vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id; only vectors of equal length are compared; a query never
+Defined results: vectors that are null or hold null or non-finite components (or such whose
+scaled value is beyond a double) take no part, nor do rows without an id; only vectors of equal length are compared; a query never
 meets rows of its own id; rows that repeat an id and its vector count once; of an id with several vectors
 each vector counts. Ties go to the smaller id. Fewer than k candidates: all of them.
 """
@@ -30,13 +32,15 @@ QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 FAN_IN = 32
 EXACT = 1 << 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
     """Integer components; null unless every component is a finite number."""
     whole = F.transform(vector, lambda x: x.cast("double"))
-    fine = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(fine, F.transform(whole, lambda x: F.floor(x * scale)))
+    scaled = F.transform(whole, lambda x: x * scale)
+    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.when(fine, F.transform(scaled, lambda x: F.when(F.abs(x) < float(EXACT), F.floor(x).cast("double")).otherwise(x)))
 
 
 def _tile_top(k: int):
@@ -49,9 +53,12 @@ def _tile_top(k: int):
             c, ids = c[order], ids[order]
             bound = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
             kind = np.float64 if bound < EXACT else object
-            q, c = q.astype(kind), c.astype(kind)
+            if kind is object:
+                q, c = (np.array([[int(x) for x in row] for row in side], dtype=object).reshape(side.shape) for side in (q, c))
             for at in range(0, len(q), 256):
                 scores = q[at:at + 256] @ c.T
+                if kind is object:
+                    scores = np.maximum(np.minimum(scores, MOST), LEAST)
                 for row, own in zip(scores, q_ids[at:at + 256]):
                     usable = np.flatnonzero(ids != own)
                     values = row[usable]
