@@ -4,8 +4,10 @@ A text is lower-cased; every run of characters that are no letters stands as a w
 Its character 2-, 3- and 4-grams inside words (word ends included) are hashed into
 ``BUCKETS`` rows of an embedding table; the mean row goes through a linear softmax. Table
 and softmax are trained together by stochastic gradient descent in numpy on a bounded
-sample of labelled rows: per language about ``TRAIN_ROWS`` rows, drawn by a hash, with
-at most ``TRAIN_CHARS`` characters. A fifth of the sample calibrates: a temperature
+sample of labelled rows: per language about ``TRAIN_ROWS`` rows, drawn by a hash (fewer if
+there are so many languages that ``MOST_ROWS`` would be passed); of a text of more than
+``TRAIN_CHARS`` characters, a passage of that length from a place chosen by a hash. Every
+language with a labelled row can be drawn. A fifth of the sample calibrates: a temperature
 that minimises its log loss, and the score below which a prediction is rejected, chosen
 so that at most ``LOST`` of its right predictions are lost.
 
@@ -20,18 +22,19 @@ Repeated rows give repeated rows; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import held_out
+from ..session import save_stage
+from .common import held_out, small_side
 
 BUCKETS, DIMENSIONS = 1 << 16, 12
-#: about so many training rows of a language, none longer than this, of at most so many (most frequent) languages
-TRAIN_ROWS, TRAIN_CHARS, MOST_LANGUAGES = 1000, 20_000, 1000
+#: about so many training rows of a language, each a passage of at most so many characters, and of all languages together
+TRAIN_ROWS, TRAIN_CHARS, MOST_ROWS = 1000, 20_000, 20_000
 EPOCHS, RATE, BATCH = 4, 0.5, 16
 LOST = 0.001
 #: characters whose grams are held in memory at once
@@ -113,13 +116,13 @@ def pooled(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sums, counts
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and their shares."""
+def bags(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their shares; texts are not kept."""
     out = []
     for text in texts:
         found = [bucket for _, bucket in grams(np.concatenate([[32], letters(text), [32] * 4]).astype(np.uint32))]
         bucket, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
-        out.append((bucket, (n / max(1, n.sum())).astype(np.float32)))
+        out.append((bucket.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -128,13 +131,13 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return top / top.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
+def train(texts: Iterable[str], langs: list[str], seed: int = 7) -> dict:
     """Folded logits per bucket, bias, languages, temperature and rejection score."""
     names = sorted(set(langs))
     truth = np.array([names.index(lang) for lang in langs])
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    calibrate, fit = order[:len(texts) // 5], order[len(texts) // 5:]
+    order = rng.permutation(len(langs))
+    calibrate, fit = order[:len(langs) // 5], order[len(langs) // 5:]
     found = bags(texts)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(names)), dtype=np.float32), np.zeros(len(names), dtype=np.float32)
@@ -173,16 +176,22 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
 def learnable(docs: DataFrame) -> DataFrame:
     """The labelled sample that the model may see: each language's rows by a hash, at the share that gives TRAIN_ROWS."""
     rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    shares = rows.groupBy("lang").agg((F.lit(float(TRAIN_ROWS)) / F.count("*")).alias("share"))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.filter(F.length("text") <= TRAIN_CHARS).withColumn("chance", chance)
-    return near.join(F.broadcast(shares.orderBy("share").limit(MOST_LANGUAGES)), "lang").filter("chance < share").select("text", "lang")
+    counts = save_stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    wanted = min(float(TRAIN_ROWS), MOST_ROWS / max(1, counts.count()))
+    shares = counts.select("lang", (F.lit(wanted) / F.col("n")).alias("share"))
+    drawn = F.xxhash64("doc_id", "text")
+    chance = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    begin = F.pmod(F.shiftright(drawn, 30), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    near = rows.select("lang", chance.alias("chance"), F.substring(F.col("text"), begin, F.lit(TRAIN_CHARS)).alias("text"))
+    return near.join(small_side(shares, F.octet_length("lang") + 32), "lang").filter("chance < share").select("text", "lang")
 
 
 def fit(docs: DataFrame) -> dict | None:
     """Model from the labelled rows of ``docs``; None if there are none."""
-    sample = learnable(docs).orderBy("lang", "text").collect()  # bounded: TRAIN_ROWS rows of TRAIN_CHARS characters per language
-    return train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
+    sample = learnable(docs).orderBy("lang", "text").toArrow()  # bounded: MOST_ROWS passages of TRAIN_CHARS characters
+    if not sample.num_rows:
+        return None
+    return train((text.as_py() for text in sample.column("text")), sample.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
