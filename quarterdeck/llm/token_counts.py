@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: characters encoded at once, and the overlap of neighbouring chunks to begin with
-CHUNK, OVERLAP = 65536, 512
+CHUNK, OVERLAP = 8192, 512
 #: characters handed to the library in one call
 CALL_CHARS = 1 << 19
 LIMIT = 4096
