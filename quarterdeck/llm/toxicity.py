@@ -2,12 +2,13 @@ r"""Toxicity of whole texts after noisy-channel deobfuscation.
 
 1. A character trigram model over a fixed alphabet is counted over all documents (per
    task as a dense table, then summed by trigram; the table has ``SYMBOLS**3`` cells).
-2. A token with digits or signs inside, or with a letter three or more times in a row, and
+2. A token with digits or signs inside, with a letter three or more times in a row or with several doubled ones, and
    a run of three or more spaced single characters become a lattice: each character may
    be itself, a letter it resembles (``LOOKS_LIKE``), nothing (a separator between
    letters) or, for a separator, a word end; a run of one letter is emitted once or
    twice. Viterbi decoding finds the path of the highest language-model probability less
-   channel costs. Other tokens have one path and stay as they are.
+   channel costs. A token without any letter may also be meant as it stands, a number, at a cost of its
+   own (``DIGIT``, ``MARK``); the cheaper reading wins. Other tokens have one path and stay as they are.
 3. Restored words give presence features: the word and its prefixes of 3 to 6 letters.
    Among the labelled rows that may be learned from, one half (by text hash) selects the
    features that are far likelier in toxic texts; the other half fits a logistic score on
@@ -49,13 +50,17 @@ _CODES = np.array([_CODE.get(chr(c), 1 if chr(c).isalpha() else 0) for c in rang
 
 #: channel costs, in nats
 SWAP, DROP, SPLIT, SIGN, SINGLE = 1.0, 0.7, 1.0, 9.0, 3.0
+#: stands between spaced characters; it may be dropped or end a word
+SEPARATOR = "\u200b"
+#: cost of a digit or a sign that is meant as it stands, in a token without letters
+DIGIT, MARK = 2.3, 6.0
 #: readings of longer tokens are not kept
 KEPT_LENGTH = 64
 TRAIN_ROWS = 40_000
 LEAST_TOXIC, LEAST_Z, FEATURES = 3, 3.0, 4096
 THRESHOLD = 0.7
 KEPT_TOKENS = 400_000
-_THRICE = re.compile(r"(.)\1\1")
+_THRICE = re.compile(r"(.)\1\1|(.)\2.*(.)\3")  # or two doubled letters
 _SPACED = re.compile(r"(?<=\s)\S(?:[ \t]+\S(?!\S)){2,}|\A\S(?:[ \t]+\S(?!\S)){2,}")
 _RUN = re.compile(r"(.)\1*")
 
@@ -106,7 +111,7 @@ class Restorer:
         return out + [("", DROP if not char.isdigit() else SIGN), (" ", SPLIT)]
 
     def decode(self, token: str) -> str:
-        """The likeliest reading, words separated by spaces."""
+        """The likeliest reading, words separated by spaces; nothing if a token without letters stands for itself."""
         logs, settled = self.logs, []
         states: dict = {(0, 0): (0.0, None)}  # score, and the letters so far as a chain that readings share
         for run in _RUN.finditer(token):
@@ -129,7 +134,9 @@ class Restorer:
                 (state, (score, text)), = states.items()
                 settled.append(_spelled(text))
                 states = {state: (score, None)}
-        last = max(states.items(), key=lambda s: s[1][0] + logs[s[0][0]][s[0][1]][0])[1][1]
+        ((a, b), (score, last)) = max(states.items(), key=lambda s: s[1][0] + logs[s[0][0]][s[0][1]][0])
+        if not any(c.isalpha() for c in token) and score + logs[a][b][0] <= -sum(DIGIT if c.isdigit() else MARK for c in token if c != SEPARATOR):
+            return ""
         return "".join(settled) + _spelled(last)
 
 
@@ -155,9 +162,6 @@ class Words:
         bare = token.strip(".,;:?\"'()[]{}<>&%#*~`^_=/\\-")
         if bare.isalpha() and not _THRICE.search(bare):
             return [bare]
-        # a lattice needs a letter beside its signs; numbers and rows of signs have none
-        if not any(c.isalpha() for c in bare):
-            return []
         bare = token.strip(".,;:?\"'%&#~`^_=/\\-<>[]{}")
         return self.restorer.decode(bare).split()
 
@@ -174,7 +178,7 @@ class Words:
         text = text.lower()
         tokens = set(text.split())
         for span in _SPACED.findall(text) if _SPACED.search(text) else ():
-            tokens.add("\u200b".join(span.split()))  # a separator that may be dropped or end a word
+            tokens.add(SEPARATOR.join(span.split()))
         if len(self.nothing) + len(self.kept) > KEPT_TOKENS:
             self.kept, self.nothing = {}, set()
         tokens.difference_update(self.nothing)
