@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -305,8 +306,12 @@ def _exact_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "id long, linked long, root long")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links of every row."""
+def jaccard_join(docs: DataFrame, row_keys: bool = False) -> DataFrame:
+    """doc_id, class_id and n_links of every row.
+
+    With ``row_keys`` also key1 and key2, which tell apart texts that share an id, and stays: whether the row is
+    its class's one row (or rows, if they repeat id and text), or has no part in any class.
+    """
     runs, levels = plan(docs.count())
     signed = save_stage(signatures(docs, runs, levels), "paths-signatures")
     some = signed.filter("n > 0 and doc_id is not null")
@@ -317,10 +322,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = some.join(members, ["key1", "key2"]).filter("doc_id = least").select(
         "id", "doc_id", "key1", "key2", "copies", "n", "sketch", "picks").dropDuplicates(["id"])
     rows = save_stage(rows, "paths-rows")
-    shared = [level for level in _nodes(rows, runs, levels)]
-    nodes = shared[0]
-    for level in shared[1:]:
-        nodes = nodes.unionByName(level)
+    nodes = reduce(DataFrame.unionByName, _nodes(rows, runs, levels))
     candidates = components(_sketch_links(nodes, rows))
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
     clusters = candidates.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
@@ -328,10 +330,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = save_stage(_exact_links(clusters, docs), "paths-links")
     classes = components(links.filter("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = save_stage(classes.select(F.col("node").alias("id"), "root").join(members.select("id", "least"), "id"), "paths-classes")
-    names = save_stage(classes.groupBy("root").agg(F.min("least").alias("name")), "paths-names")
-    classes = classes.join(small_side(names, 16), "root").select("id", "name")
+    names = save_stage(classes.groupBy("root").agg(F.min(F.struct("least", "id")).alias("first")).select("root", F.col("first.least").alias("name"), F.col("first.id").alias("first")), "paths-names")
+    classes = classes.join(small_side(names, 24), "root").select("id", "name", "first")
     counted = links.groupBy("id").agg(F.sum("linked").alias("linked"))
     told = save_stage(members.join(counted, "id", "left").join(classes, "id", "left").select(
-        "key1", "key2", F.coalesce("name", "least").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "paths-told")
-    plain = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.select("doc_id", "key1", "key2").join(told, ["key1", "key2"]).select("doc_id", "class_id", "n_links").unionByName(plain)
+        "key1", "key2", "least", (F.coalesce("first", "id") == F.col("id")).alias("leads"), F.coalesce("name", "least").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "paths-told")
+    plain = signed.filter("n = 0 or doc_id is null").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "key1", "key2", F.lit(True).alias("stays"))
+    out = some.select("doc_id", "key1", "key2").join(told, ["key1", "key2"]).select(
+        "doc_id", "class_id", "n_links", "key1", "key2", (F.col("leads") & (F.col("doc_id") == F.col("least"))).alias("stays")).unionByName(plain)
+    return out if row_keys else out.select("doc_id", "class_id", "n_links")
+
+
+def row_keys(text: Column) -> list[Column]:
+    """key1 and key2 of a text, as :func:`jaccard_join` tells them."""
+    return _keys(F.coalesce(words(text), F.array().cast("array<string>")))
