@@ -81,7 +81,7 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
     repeated = narrow.groupBy("hash").count().filter("count > 1").drop("count")
     suspects = save_stage(narrow.join(repeated, "hash", "left_semi").groupBy("doc_id", "_row").agg(F.collect_set("no").alias("nos")), "lines-suspects")
 
-    side = small_side(suspects.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "nos"), 80)
+    side = small_side(suspects.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "nos"), F.size("nos") * 8 + 48)
     looked = rows.join(side, rows["doc_id"].eqNullSafe(side["_id"]) & (rows["_row"] == side["_r"])).drop("_id", "_r")
     texts = _with_spans(looked).select("doc_id", "_row", F.explode("nos").alias("no"), "_lines", "_spans").select(
         "doc_id", "_row", "no", _chunk(F.get(F.col("_spans"), F.col("no"))).alias("chunk"))
@@ -96,7 +96,7 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its text after removal, and n_lines, lines_removed, chunks_removed (longs)."""
     gone = removed_chunks(docs)
-    side = small_side(gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), F.col("gone").alias("_gone")), 80)
+    side = small_side(gone.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), F.col("gone").alias("_gone")), F.size("_gone") * 8 + 48)
     given = docs.drop("n_lines", "lines_removed", "chunks_removed")
     rows, carried = set_aside(given, "doc_id", "text")
     rows = rows.withColumn("_row", _row_key())
@@ -137,7 +137,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     suspects = narrow.join(small_side(repeated, 16), "hash", "left_semi").groupBy("doc_id", "_row").agg(F.collect_set("no").alias("nos"))
     suspects = save_stage(suspects, "runs-suspects")
 
-    side = small_side(suspects.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "nos"), 120)
+    side = small_side(suspects.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "nos"), F.size("nos") * 8 + 48)
     looked = rows.join(side, rows["doc_id"].eqNullSafe(side["_id"]) & (rows["_row"] == side["_r"])).drop("_id", "_r")
     looked = looked.withColumn("_lines", _lines(F.col("text"))).select("doc_id", "_row", "_lines", F.explode("nos").alias("no"))
     window = F.slice("_lines", F.floor(F.col("no") / 2).cast("int") + 1, F.when(F.col("no") % 2 == 0, 2).otherwise(1))
@@ -167,7 +167,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         runs.select("doc_id", "_row", F.array().cast("array<int>").alias("_gone"), F.col("runs").alias("_runs")))
     both = save_stage(both.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).agg(
         F.flatten(F.collect_list("_gone")).alias("_gone"), F.flatten(F.collect_list("_runs")).alias("_runs")), "passages-removed")
-    side = small_side(both, 160)
+    side = small_side(both, F.size("_gone") * 8 + F.size("_runs") * 16 + 64)
     given = docs.drop("n_lines", "lines_removed")
     rows, carried = set_aside(given, "doc_id", "text")
     rows = rows.withColumn("_row", _row_key())
