@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import ship_code  # noqa: F401  (the operators take it from here)
+
 #: largest table, in bytes, that an operator hands to every executor
 BROADCAST_BYTES = 24 << 20
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give the Python workers this package, as ``--py-files`` would; once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
