@@ -275,32 +275,62 @@ def sliced(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+#: rows of a batch that are Python objects at a time
+ROWS = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of bounded parts of the batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for first, texts in sliced(part.column(1).to_pylist()):
+                yield part.column(0).slice(first, len(texts)), texts
+
+
+def decoded(tokens: list[bytes], packed: list[bytes]) -> list[bytes]:
+    look = tokens.__getitem__
+    return [b"".join(map(look, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in packed]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (binary, 4 bytes an id) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for batch in batches:
-            for first, texts in sliced(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(encoder(texts), pa.binary())], ["doc_id", "ids"])
+        for ids, texts in parts(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(encoder(texts), pa.binary())], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the decoded bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = token_bytes(path).__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [b"".join(map(look, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = decoded(token_bytes(path), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids and what they decode to, in one pass by one worker a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern)
+        for doc_ids, texts in parts(batches):
+            packed = encoder(texts)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(packed, pa.binary()), pa.array(decoded(encoder.vocab.tokens, packed), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the packed ids and of the bytes they decode to."""
-    return decode(encode(docs, path, pattern), path).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

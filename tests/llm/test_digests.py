@@ -33,6 +33,8 @@ def test_byte_bpe_matches_the_library(docs):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert byte_bpe.digests(docs([]), BPE, public_tokenizers.PATTERN).count() == 0
+    apart = byte_bpe.decode(byte_bpe.encode(df, BPE, public_tokenizers.PATTERN), BPE)
+    assert sorted(map(tuple, apart.collect()), key=str) == sorted(map(tuple, byte_bpe.round_trip(df, BPE, public_tokenizers.PATTERN).collect()), key=str)
 
 
 def test_long_and_short_trees_agree():
