@@ -7,6 +7,9 @@ histogram of band sizes gives each band its starting position, so a group that
 holds a third of the data is still spread over its bands. The histogram also
 carries group totals, so weights need no second pass over the rows.
 
+Keys and bands travel as one struct, whose equality takes nulls for values: the window and the
+join to the histogram then share one partitioning and one sort of the rows.
+
 The input is read twice; hand in a saved stage, not a long lazy plan.
 """
 
@@ -42,22 +45,18 @@ def rank_within(
     along = Window.partitionBy(*keys).orderBy(*band_names)
     whole = Window.partitionBy(*keys)
     starts = sizes.select(
-        *cells,
+        F.struct(*cells).alias("__of"),
         (F.sum("__n").over(along) - F.col("__n")).alias("__start"),
         *[F.sum(f"__sum_{k}").over(whole).alias(k) for k in totals],
         *[(F.sum(f"__sum_{k}").over(along) - F.col(f"__sum_{k}")).alias(f"__start_{k}") for k in running],
     )
-    cell = Window.partitionBy(*cells).orderBy(*order)
+    banded = banded.withColumn("__cell", F.struct(*cells)).drop(*band_names)
+    cell = Window.partitionBy("__cell").orderBy(*order)
     so_far = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = banded.withColumns({
         "__pos": F.row_number().over(cell).cast("long"), **{f"__run_{k}": F.sum(c).over(so_far) for k, c in running.items()},
     })
-    # null keys and bands are groups like any other
-    starts = starts.withColumnsRenamed({c: f"__of_{c}" for c in cells})
-    together = F.lit(True)
-    for c in cells:
-        together = together & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    return placed.join(starts, together).select(
+    return placed.join(starts, F.col("__cell") == F.col("__of")).select(
         *df.columns, (F.col("__start") + F.col("__pos")).alias(name), *totals,
         *[(F.col(f"__start_{k}") + F.col(f"__run_{k}")).alias(k) for k in running],
     )

@@ -85,3 +85,18 @@ def test_average_precision_of_groups(spark):
     rows = [(g, label, score) for g, some in ((1, [(1, 0.9), (0, 0.5), (1, 0.1)]), (2, [(0, 0.9), (1, 0.8)])) for label, score in some]
     got = {r["g"]: r["average_precision"] for r in lb.average_precision(spark.createDataFrame(rows, "g int, label int, score double"), ["g"]).collect()}
     assert got == {1: pytest.approx((1 + 2 / 3) / 2), 2: pytest.approx(0.5)}
+
+
+def test_ranks_move_the_rows_once(spark):
+    """With broadcasts off the rows are exchanged once: the histogram has exchanges of its own."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", 1, 5), (None, 2, 6), ("a", 1, 7)], "k string, v int, carried int")
+        ranked = rank_within(df, ["k"], [F.col("v"), F.col("carried")], [F.col("v")])
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert sum("__cell" in line for line in moved) == 1 and len(moved) == 4, plan
+        assert sorted(tuple(r) for r in ranked.filter("k is not null").collect()) == [("a", 1, 5, 1), ("a", 1, 7, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
