@@ -134,3 +134,22 @@ def peer_negatives(held: DataFrame, quarters: DataFrame, ranked: DataFrame, limi
     managers = _eligible(quarters).join(taken, ["cik", "report_period"], "left").repartition(spread, "cik", "report_period")
     wanted = managers.withColumn("peer_rank", F.explode(free))
     return wanted.drop("taken").join(ranked, ["report_period", "cutoff", "peer_rank"])
+
+
+def target_positions(snaps: DataFrame, held: DataFrame, quarters: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Where each next-quarter holding stands in its manager's candidate list, without building the list.
+
+    Position 0 is a security the manager already holds. Any other is the p-th negative when
+    its peer rank less the manager's held ranks before it is p, so a cap of c covers exactly
+    the positions up to c. Securities no peer held at the cut-off are in no list and left out.
+    """
+    targets = snaps.select("cik", F.col("report_period").alias("target_report_period"), "security_key", "weight").join(
+        _eligible(quarters).select("cik", "report_period", "target_report_period", "cutoff"), ["cik", "target_report_period"])
+    placed = targets.join(ranked.select("report_period", "cutoff", "security_key", "peer_rank"), ["report_period", "cutoff", "security_key"])
+    rows = placed.select("cik", "report_period", "peer_rank", F.col("weight").alias("target_weight"), F.lit(0).alias("held")).unionByName(
+        held.select("cik", "report_period", "peer_rank", F.lit(None).cast("double").alias("target_weight"), F.lit(1).alias("held")))
+    # one manager's two portfolios; a held security and its target share their rank
+    by_rank = Window.partitionBy("cik", "report_period").orderBy("peer_rank")
+    before = F.coalesce(F.sum("held").over(by_rank.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("held").over(by_rank.rangeBetween(Window.unboundedPreceding, Window.currentRow)) > before
+    return rows.withColumn("position", F.when(own, 0).otherwise(F.col("peer_rank") - before).cast("long")).filter("held = 0").drop("held", "peer_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import digest_id
@@ -101,6 +103,17 @@ def coverage_summary(per_manager_quarter: DataFrame) -> DataFrame:
     })
 
 
+def coverage_by_cap(positions: DataFrame, quarters: DataFrame, caps: Sequence[int]) -> DataFrame:
+    """Mean coverage under each candidate cap, all caps in one pass over the placed targets."""
+    inside = positions.groupBy("cik", "report_period").agg(*[
+        F.sum(F.when(F.col("position") <= cap, F.col("target_weight"))).alias(f"covered_{cap}") for cap in caps])
+    every = quarters.filter(F.col("status") == ELIGIBLE).join(inside, ["cik", "report_period"], "left")
+    means = every.agg(*[
+        F.avg(F.coalesce(F.try_divide(f"covered_{cap}", "target_weight_sum"), F.lit(0.0))).alias(f"mean_{cap}") for cap in caps])
+    return means.select(F.inline(F.array(*[F.struct(
+        F.lit(cap).cast("long").alias("negative_candidate_limit"), F.col(f"mean_{cap}").alias("mean_target_weight_mass_coverage")) for cap in caps])))
+
+
 def smallest_good_cap(reports: DataFrame, tolerance_percentage_points: float = 0.25) -> DataFrame:
     """Smallest candidate cap whose mean coverage is within the tolerance of the best."""
     # one row per studied cap

@@ -211,16 +211,27 @@ SELECT min(cap) AS selected_negative_candidate_limit, round(any_value(best), 6)
 WHERE best - coverage <= 0.0025
 """)
 def cap_selection(t: Tables) -> DataFrame:
-    reports = None
-    for cap in STUDIED_CAPS:
-        covered = plan.coverage_by_manager_quarter(t.build_gold(cap), t.quarters())
-        one = covered.agg(F.avg("target_weight_mass_coverage").alias("mean_target_weight_mass_coverage")).select(
-            F.lit(cap).cast("long").alias("negative_candidate_limit"), "mean_target_weight_mass_coverage")
-        reports = one if reports is None else reports.unionByName(one)
-    return plan.smallest_good_cap(reports).withColumn(
+    positions = peers.target_positions(t.snapshots(), t.held(), t.quarters(), t.ranked_peers())
+    return plan.smallest_good_cap(plan.coverage_by_cap(positions, t.quarters(), STUDIED_CAPS)).withColumn(
         "best_mean_target_weight_mass_coverage", F.round("best_mean_target_weight_mass_coverage", 6))
 
 
+@query("coverage_by_cap", f"""
+SELECT CAST(cap AS BIGINT) AS negative_candidate_limit, round(avg(covered / mass), 6) AS mean_target_weight_mass_coverage FROM (
+  SELECT cap, m.cik, m.report_period, any_value(m.target_weight_sum) AS mass, coalesce(sum(x.weight), 0) AS covered
+  FROM mq m CROSS JOIN (SELECT unnest([{', '.join(map(str, STUDIED_CAPS))}]) AS cap)
+  JOIN (SELECT cik, report_period, security_key, pos FROM negatives
+        UNION ALL SELECT cik, report_period, security_key, 0 FROM silver) k
+    ON k.cik = m.cik AND k.report_period = m.report_period AND k.pos <= cap
+  LEFT JOIN silver x ON x.cik = k.cik AND x.security_key = k.security_key AND x.report_period = m.target_report_period
+  WHERE status = 'eligible' GROUP BY 1, 2, 3) GROUP BY cap
+""")
+def coverage_by_cap(t: Tables) -> DataFrame:
+    positions = peers.target_positions(t.snapshots(), t.held(), t.quarters(), t.ranked_peers())
+    return plan.coverage_by_cap(positions, t.quarters(), STUDIED_CAPS).withColumn(
+        "mean_target_weight_mass_coverage", F.round("mean_target_weight_mass_coverage", 6))
+
+
 part("fold_quarters", """
   SELECT target_report_period AS quarter, count(*) AS n, row_number() OVER (ORDER BY target_report_period) AS o,
          count(*) OVER () AS quarters FROM gold GROUP BY 1
