@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 
@@ -86,16 +87,32 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def listing_key(spark: SparkSession, folder: str) -> str:
+    """Key of a folder's files by path, length and time of change; Spark lists them and reads no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    hashed = files.select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    row = hashed.agg(F.count("h").alias("files"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("mixed")).first()
+    return f"{row.files}:{row.mixed}"
+
+
 class Workspace:
-    """Saved stage tables of one input folder, each built at most once per application."""
+    """Saved stage tables of one input folder, each built at most once per application and state of its files.
 
-    _paths: dict[tuple[str, str, str], str] = {}
+    The files are listed once for each workspace, so a query sees one state of its input,
+    and the next query on files that have changed builds its stages anew.
+    """
+
+    _paths: dict[tuple[str, str, str, str], str] = {}
 
     def __init__(self, spark: SparkSession, source: str):
         self.spark, self.source = spark, source
 
+    @cached_property
+    def _state(self) -> str:
+        return listing_key(self.spark, self.source)
+
     def saved(self, label: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.source, label)
+        key = (self.spark.sparkContext.applicationId, self.source, self._state, label)
         path = self._paths.get(key)
         if path is not None:
             try:
@@ -105,7 +122,12 @@ class Workspace:
         self._paths[key] = write_stage(build(), label, partition_by)
         return read_stage(self.spark, self._paths[key])
 
-    def forget(self) -> None:
-        """Build every stage anew (benchmarks)."""
-        for key in [k for k in self._paths if k[1] == self.source]:
-            del self._paths[key]
+    def forget(self, delete: bool = False) -> None:
+        """Build every stage of the folder anew; ``delete`` removes the saved tables too, so no frame that reads them may be in use."""
+        jvm, app = self.spark._jvm, self.spark.sparkContext.applicationId
+        for key in [k for k in self._paths if k[:2] == (app, self.source)]:
+            table = self._paths.pop(key)
+            if delete:
+                path = jvm.org.apache.hadoop.fs.Path(table)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.__dict__.pop("_state", None)

@@ -13,8 +13,8 @@ from ..session import save_stage
 
 
 def write_holdings(df: DataFrame, path: str) -> None:
-    """Holdings by report year and quarter, one writer group per partition and hash of the manager."""
-    spread = df.repartition("report_year", "report_quarter", F.pmod(F.xxhash64("cik"), F.lit(16)))
+    """Holdings by report year and quarter. Spark splits large quarters and joins small ones by the bytes it measured, so files have even sizes."""
+    spread = df.hint("rebalance", "report_year", "report_quarter")
     spread.write.mode("overwrite").partitionBy("report_year", "report_quarter").parquet(path)
 
 
@@ -51,9 +51,26 @@ def replace_by_key(spark: SparkSession, path: str, rows: DataFrame, keys: Sequen
     result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def store_client_portfolios(spark: SparkSession, path: str, portfolios: DataFrame, buckets: int = 64) -> None:
-    """Replace header and holdings of the given clients, rewriting only their hash partitions."""
-    keyed = portfolios.withColumn("client_bucket", F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int"))
+#: holdings a hash partition of the client store is planned for
+BUCKET_ROWS = 1_000_000
+
+
+def store_client_portfolios(spark: SparkSession, path: str, portfolios: DataFrame, buckets: int | None = None) -> None:
+    """Replace header and holdings of the given clients, rewriting only their hash partitions.
+
+    The first call sets the number of partitions, from its rows unless ``buckets`` names it; the
+    store carries it in ``client_buckets`` and later calls keep it, so a client stays in its partition.
+    """
+    try:
+        stored = spark.read.parquet(path).select("client_buckets").first()
+    except AnalysisException:
+        stored = None
+    if stored is not None:
+        buckets = stored[0]
+    elif buckets is None:
+        buckets = 1 + portfolios.count() // BUCKET_ROWS
+    keyed = portfolios.withColumns({
+        "client_bucket": F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int"), "client_buckets": F.lit(buckets).cast("int")})
     replace_by_key(spark, path, keyed, ["client_bucket", "client_id"], "client_bucket")
 
 

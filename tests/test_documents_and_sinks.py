@@ -147,3 +147,29 @@ def test_precedents_match_brute_force(spark):
     for a in past[:40]:
         near = sorted((c for c in past if c[5] == a[5] and c[0] != a[0] and cosine(shape(a), shape(c)) >= .45), key=lambda c: (-cosine(shape(a), shape(c)), -c[12], -abs(c[7])))
         assert [got.get((a[0], i + 1)) for i in range(3)] == [c[0] for c in near[:3]]
+
+
+def test_client_store_keeps_its_partitions(spark, tmp_path):
+    def rows(*clients):
+        return spark.createDataFrame([(c, "x", .5) for c in clients], "client_id string, cusip string, weight double")
+
+    path = str(tmp_path / "store")
+    sk.store_client_portfolios(spark, path, rows("1", "2"), buckets=3)
+    sk.store_client_portfolios(spark, path, rows("1", "3"))  # keeps three, or client 1 would be stored twice
+    stored = spark.read.parquet(path).collect()
+    assert sorted(r.client_id for r in stored) == ["1", "2", "3"] and {r.client_buckets for r in stored} == {3}
+    fresh = str(tmp_path / "fresh")
+    sk.store_client_portfolios(spark, fresh, rows("1"))
+    assert spark.read.parquet(fresh).first().client_buckets == 1
+
+
+def test_holdings_by_quarter(spark, tmp_path):
+    """All rows come back, and a filter on the quarter is one on folders."""
+    path = str(tmp_path / "holdings")
+    rows = spark.range(1000).selectExpr("cast(id as string) cik", "cast(2020 + id % 2 as int) report_year", "cast(1 + id % 4 as int) report_quarter", "id value_usd")
+    sk.write_holdings(rows, path)
+    assert spark.read.parquet(path).exceptAll(rows.select("cik", "value_usd", "report_year", "report_quarter")).count() == 0
+    assert spark.read.parquet(path).count() == 1000
+    one = spark.read.parquet(path).filter("report_year = 2021 and report_quarter = 2")
+    assert one.count() == 250
+    assert "PartitionFilters: [isnotnull(report_year" in one._jdf.queryExecution().toString()
