@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.keys import AMENDED_FORM, HOLDINGS_FORMS
@@ -22,16 +25,50 @@ TABLES = ("SUBMISSION", "COVERPAGE", "INFOTABLE", "SUMMARYPAGE")
 
 
 def read_package_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All packages under ``root/package=<label>/<table>.tsv`` as text columns plus ``package``."""
+    """All packages under ``root/package=<label>/<table>.tsv`` as text columns plus ``PACKAGE``.
+
+    Columns are matched by the names in each file's header, whatever their order; one that a package
+    lacks is null there. The headers (a line of each package) are read first, and packages with the
+    same header are scanned together.
+    """
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}")
-    raw = (
-        spark.read.option("header", True).option("sep", "\t").option("quote", "\u0000")
-        .option("mode", "PERMISSIVE").csv(f"{root.rstrip('/')}/package=*/{table}.tsv")
-    )
-    package = F.regexp_extract(F.col("_metadata.file_path"), "package=([^/]+)", 1)
-    raw = raw.withColumn("PACKAGE", package)
-    return raw.toDF(*[c.lstrip("﻿").strip().upper() for c in raw.columns])
+    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/package=*/{table}.tsv").select("path", "length")
+    paths = [row["path"] for row in found.filter("length > 0").orderBy("path").collect()]  # one file a package
+    if not paths:
+        raise ValueError(f"no package holds {table}")
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        alike.setdefault(tuple(_header(spark.read.text(path).first()[0])), []).append(path)
+
+    def scan(header: tuple[str, ...], files: list[str]) -> DataFrame:
+        raw = (
+            spark.read.option("header", True).option("sep", "\t").option("quote", "\u0000").option("mode", "PERMISSIVE")
+            .schema(", ".join(f"`{c}` string" for c in header)).csv(files)
+        )
+        return raw.withColumn("PACKAGE", F.regexp_extract(F.col("_metadata.file_path"), "package=([^/]+)", 1))
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [scan(h, files) for h, files in alike.items()])
+
+
+def package_rows(documents: DataFrame, columns: Sequence[str], text: str = "value") -> DataFrame:
+    """Rows of package tables in a text column: these columns as text, by the names in each table's header, beside the other columns.
+
+    Nothing is quoted; a leading byte-order mark and carriage returns are dropped. A column or cell that a
+    table lacks is null. Tables that are null, empty or hold only a header give no row, and neither do blank lines.
+    """
+    kept = [c for c in documents.columns if c != text]
+    lines = F.split(F.regexp_replace(F.col(text), "^\ufeff|\r", ""), "\n")
+    titles = F.transform(F.split(F.get("lines", F.lit(0)), "\t"), lambda c: F.upper(strip(c)))
+    places = [F.array_position("titles", c).cast("int").alias(c) for c in columns]
+    cut = documents.filter(F.col(text).isNotNull()).select(*kept, lines.alias("lines")).withColumn("titles", titles)
+    rows = cut.select(*kept, F.struct(*places).alias("at"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    cells = rows.filter(F.col("line") != "").select(*kept, "at", F.split("line", "\t").alias("cells"))
+    return cells.select(*kept, *[F.when(F.col("at")[c] > 0, F.get("cells", F.col("at")[c] - 1)).alias(c) for c in columns])
+
+
+def _header(line: str) -> list[str]:
+    return [c.lstrip("\ufeff").strip().upper() for c in line.split("\t")]
 
 
 def parse_submissions(submission: DataFrame, coverpage: DataFrame) -> DataFrame:

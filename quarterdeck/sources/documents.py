@@ -6,7 +6,7 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.keys import HOLDINGS_FORMS
+from ..functions.keys import HOLDINGS_FORMS, ORIGINAL_FORM
 from ..functions.text import blank_to_null, normalize_cik, normalize_list_cusip, parse_int_via_float, parse_number, strip
 
 # Tags of the information table and the cover page.
@@ -21,6 +21,7 @@ COVER_PATHS = {
     "cik": ("headerData", "filerInfo", "filer", "credentials", "cik"), "form_type": ("headerData", "submissionType"),
     "report_period": ("formData", "coverPage", "reportCalendarOrQuarter"), "filer_name": ("formData", "coverPage", "filingManager", "name"),
 }
+# Keys of the submission feed and the filing index, header words of securities lists.
 FEED_SCHEMA = (
     "cik string, filings struct<recent: struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>,"
     " reportDate: array<string>, primaryDocument: array<string>, primaryDocDescription: array<string>>>"
@@ -38,35 +39,63 @@ def read_information_tables(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("xml").option("rowTag", "infoTable").option("ignoreNamespace", True).schema(LINE_SCHEMA).load(path)
         .withColumn("file_path", F.col("_metadata.file_path"))
     )
+    return raw.select("file_path", *_line_columns())
 
+
+def information_table_lines(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Holding lines of XML documents in a text column, each parsed once, beside the other columns.
+
+    Prefixed tags are read as well. A document that is null, empty, without lines or no XML gives no row.
+    """
+    parsed = F.from_xml(F.col(text), f"infoTable array<{LINE_SCHEMA.simpleString()}>", {"ignoreNamespace": "true"})
+    kept = [F.col(c) for c in documents.columns if c != text]
+    whole = documents.select(F.struct(*kept).alias("kept"), F.explode(parsed["infoTable"]).alias("line"))
+    return whole.select(*[F.col("kept")[c].alias(c) for c in documents.columns if c != text], *_line_columns("line."))
+
+
+def _line_columns(at: str = "") -> list[Column]:
+    """The typed columns of a holding line whose tags are at ``at``."""
     def number(c: str) -> Column:
-        return F.coalesce(parse_int_via_float(c), F.lit(0).cast("long"))
+        return F.coalesce(parse_int_via_float(at + c), F.lit(0).cast("long"))
 
-    return raw.select(
-        "file_path", strip("nameOfIssuer").alias("issuer_name"), strip("titleOfClass").alias("title_of_class"), strip("cusip").alias("cusip"),
+    return [
+        strip(at + "nameOfIssuer").alias("issuer_name"), strip(at + "titleOfClass").alias("title_of_class"), strip(at + "cusip").alias("cusip"),
         number("value").alias("reported_value"),
-        F.coalesce(parse_number("shrsOrPrnAmt.sshPrnamt", "double"), F.lit(0.0)).alias("shares_or_principal"),
-        strip("shrsOrPrnAmt.sshPrnamtType").alias("share_type"), F.upper(strip("putCall")).alias("put_call"),
-        strip("investmentDiscretion").alias("investment_discretion"), blank_to_null("otherManager").alias("other_manager"),
+        F.coalesce(parse_number(at + "shrsOrPrnAmt.sshPrnamt", "double"), F.lit(0.0)).alias("shares_or_principal"),
+        strip(at + "shrsOrPrnAmt.sshPrnamtType").alias("share_type"), F.upper(strip(at + "putCall")).alias("put_call"),
+        strip(at + "investmentDiscretion").alias("investment_discretion"), blank_to_null(at + "otherManager").alias("other_manager"),
         *[number(f"votingAuthority.{n}").alias(f"voting_authority_{n.lower()}") for n in ("Sole", "Shared", "None")],
-    )
+    ]
 
 
 def read_cover_pages(spark: SparkSession, path: str) -> DataFrame:
     """Manager, form, quarter and name of primary documents, whatever their namespaces."""
-    texts = spark.read.text(path, wholetext=True).withColumn("file_path", F.col("_metadata.file_path"))
+    return cover_pages(spark.read.text(path, wholetext=True).withColumn("file_path", F.col("_metadata.file_path")))
 
-    def at(path_parts: tuple[str, ...]) -> Column:
-        steps = "/".join(f"*[local-name()='{p}']" for p in path_parts)
-        return strip(F.xpath_string("value", F.lit(f"/*/{steps}")))
 
-    found = texts.select("file_path", *[at(p).alias(n) for n, p in COVER_PATHS.items()])
+def cover_pages(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Manager, form, quarter and name of primary documents in a text column, one row each; one parse a document.
+
+    Absent tags are '' (the name and a quarter that is no date: null); the form defaults to the original one.
+    """
+    parsed = F.from_xml(F.col(text), _nested(list(COVER_PATHS.values())), {"ignoreNamespace": "true"})
+    kept = [c for c in documents.columns if c != text]
+    found = documents.select(*kept, parsed.alias("page"))
+    at = {name: strip("page." + ".".join(path)) for name, path in COVER_PATHS.items()}
     return found.select(
-        "file_path", "cik", F.when(F.col("form_type") == "", "13F-HR").otherwise(F.col("form_type")).alias("form_type"),
-        F.try_to_date("report_period", "MM-dd-yyyy").alias("report_period"), blank_to_null("filer_name").alias("filer_name"),
+        *kept, at["cik"].alias("cik"), F.when(at["form_type"] == "", ORIGINAL_FORM).otherwise(at["form_type"]).alias("form_type"),
+        F.try_to_date(at["report_period"], "MM-dd-yyyy").alias("report_period"), blank_to_null(at["filer_name"]).alias("filer_name"),
     )
 
 
+def _nested(paths: list[tuple[str, ...]], top: bool = True) -> str:
+    """Schema of nested text tags at these paths."""
+    heads = dict.fromkeys(p[0] for p in paths)
+    tails = {h: [p[1:] for p in paths if p[0] == h and len(p) > 1] for h in heads}
+    fields = ", ".join(f"{h}{' ' if top else ': '}" + (f"struct<{_nested(tails[h], False)}>" if tails[h] else "string") for h in heads)
+    return fields
+
+
 def recent_filings(feeds: DataFrame, forms: tuple[str, ...] = HOLDINGS_FORMS) -> DataFrame:
     """Filings of submission feeds (JSON text in ``value``): parallel arrays become rows."""
     parsed = feeds.select(F.from_json("value", FEED_SCHEMA).alias("feed"))
@@ -80,21 +109,25 @@ def recent_filings(feeds: DataFrame, forms: tuple[str, ...] = HOLDINGS_FORMS) ->
 
 
 def information_table_names(indexes: DataFrame) -> DataFrame:
-    """Information table of each filing: largest other XML file, else the primary document itself.
+    """Information table of each filing: largest other XML file (the first of equal ones), else the primary document itself.
 
-    ``indexes`` has accession_number, primary_document and the index JSON in ``value``.
+    ``indexes`` has accession_number, primary_document and the index JSON in ``value``; each row is decided by itself.
     """
-    items = F.explode_outer(F.from_json("value", INDEX_SCHEMA)["directory"]["item"])
     listed = indexes.select(
-        "accession_number", F.lower(F.element_at(F.split("primary_document", "/"), -1)).alias("primary"), items.alias("item"))
-    name = F.lower(F.coalesce("item.name", F.lit("")))
-    size = F.coalesce(F.col("item.size").try_cast("long"), F.lit(0))
-    other = name.endswith(".xml") & (name != F.col("primary")) & ~name.contains("primary_doc")
-    itself = F.col("primary").endswith(".xml") & (name == F.col("primary"))
-    return listed.groupBy("accession_number").agg(
-        F.max_by(F.when(other, F.col("item.name")), F.when(other, size)).alias("other"),
-        F.max(F.when(itself, F.col("item.name"))).alias("itself"),
-    ).select("accession_number", F.coalesce("other", "itself").alias("information_table"))
+        "accession_number", F.lower(F.element_at(F.split("primary_document", "/"), -1)).alias("primary"),
+        F.from_json("value", INDEX_SCHEMA).alias("index"))
+
+    def name(item: Column) -> Column:
+        return F.lower(F.coalesce(item["name"], F.lit("")))
+
+    def size(item: Column) -> Column:
+        return F.coalesce(item["size"].try_cast("long"), F.lit(0).cast("long"))
+
+    primary, items = F.coalesce("primary", F.lit("")), F.col("index.directory.item")
+    others = F.filter(items, lambda i: name(i).endswith(".xml") & (name(i) != primary) & ~name(i).contains("primary_doc"))
+    placed = F.transform(others, lambda i, at: F.struct(size(i).alias("size"), (-at).alias("place"), i["name"].alias("name")))
+    itself = F.get(F.filter(items, lambda i: primary.endswith(".xml") & (name(i) == primary)), F.lit(0))["name"]
+    return listed.select("accession_number", F.coalesce(F.array_max(placed)["name"], itself).alias("information_table"))
 
 
 def read_securities_list(spark: SparkSession, path: str) -> DataFrame:
@@ -111,22 +144,42 @@ def read_securities_list(spark: SparkSession, path: str) -> DataFrame:
     titled = F.lower("value").contains("cusip")
     headers = lines.groupBy("file").agg(
         F.min(F.when(titled, spot)).alias("spot"), F.min_by(F.when(titled, F.col("value")), F.when(titled, spot)).alias("header"))
+    under = lines.join(headers.withColumnRenamed("file", "of_file"), F.col("file") == F.col("of_file")).filter(spot > F.col("spot"))
     # a row per different header, and most lists have one
-    kinds = [row["header"] for row in headers.select("header").distinct().collect()]
+    return _listed(under, [row["header"] for row in headers.select("header").distinct().collect()], ("file", "block", "id"))
+
+
+def securities_of_lists(documents: DataFrame, order: str, text: str = "value") -> DataFrame:
+    """Reference securities of lists in a text column; the first row of a CUSIP wins, by ``order`` of the lists and then by line.
+
+    Header and lines of a list are found within its row. A list without a header is an error; null and empty ones give no row.
+    """
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    cut = documents.filter(strip(text) != "").select(F.col(order).alias("list"), lines.alias("lines"))
+    at = F.array_position(F.transform("lines", lambda line: F.lower(line).contains("cusip")), True)
+    titled = cut.withColumn("at", at).withColumn("header", F.when(F.col("at") > 0, F.get("lines", (F.col("at") - 1).cast("int"))))
+    kinds = [row["header"] for row in titled.select("header").distinct().collect()]  # most lists share a header
+    if not kinds:
+        kinds = ["cusip,issuer"]
+    below = F.slice("lines", (F.col("at") + 1).cast("int"), F.size("lines"))
+    return _listed(titled.select("list", "header", F.posexplode(below).alias("line", "value")), kinds, ("list", "line"))
+
+
+def _listed(under: DataFrame, kinds: list, order: tuple[str, ...]) -> DataFrame:
+    """Securities of list lines (``value``) below their ``header``, one of ``kinds``; the first by ``order`` wins."""
     if not kinds or None in kinds:
         raise ValueError("no header row with a CUSIP column")
-    under = lines.join(headers.withColumnRenamed("file", "of_file"), F.col("file") == F.col("of_file")).filter(spot > F.col("spot"))
     cells = [F.when(F.col("header") == kind, _list_cells(kind)) for kind in kinds]
-    cells = under.select("file", "block", "id", F.coalesce(*cells).alias("r"))
+    cut = under.select(*order, F.coalesce(*cells).alias("r"))
 
     def cell(column: str) -> Column:
         return F.col(f"r.{column}")
 
-    rows = cells.select(
-        "file", "block", "id", normalize_list_cusip(cell("cusip")).alias("cusip"), strip(cell("issuer_name")).alias("issuer_name"),
+    rows = cut.select(
+        *order, normalize_list_cusip(cell("cusip")).alias("cusip"), strip(cell("issuer_name")).alias("issuer_name"),
         *[blank_to_null(cell(c)).alias(c) for c in ("class_title", "ticker", "status")],
     ).filter((F.col("cusip") != "") & (F.col("issuer_name") != ""))
-    first = rows.groupBy("cusip").agg(F.min_by(F.struct("issuer_name", "class_title", "ticker", "status"), F.struct("file", "block", "id")).alias("s"))
+    first = rows.groupBy("cusip").agg(F.min_by(F.struct("issuer_name", "class_title", "ticker", "status"), F.struct(*order)).alias("s"))
     return first.select("cusip", "s.*")
 
 
@@ -185,4 +238,14 @@ RECONCILED_SCHEMA = (
 def read_reference_holdings(spark: SparkSession, path: str) -> DataFrame:
     """Typed holdings CSV with a JSON list column; a bad row fails the read."""
     raw = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').schema(RECONCILED_SCHEMA).csv(path)
+    return _with_accession_lists(raw)
+
+
+def reference_holdings(lines: DataFrame, text: str = "value") -> DataFrame:
+    """The same rows from CSV lines in a text column, without a header; a bad line fails the query, a null one gives no row."""
+    parsed = F.from_csv(F.col(text), RECONCILED_SCHEMA, {"mode": "FAILFAST", "escape": '"'})
+    return _with_accession_lists(lines.filter(F.col(text).isNotNull()).select(parsed.alias("row")).select("row.*"))
+
+
+def _with_accession_lists(raw: DataFrame) -> DataFrame:
     return raw.withColumn("source_accession_numbers", F.sort_array(F.from_json("source_accession_numbers", "array<string>")))
