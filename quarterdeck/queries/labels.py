@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import reduce
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import event_id
 from ..operators import folds, forecasts as fc, labels as lb, validation
-from ..plans import learning as ml, search
-from ..session import save_stage
+from ..plans import learning as ml, model_store as store, search
+from ..session import save_stage, shared_folder
 from ..sources import driver_tables as given
 from .changes import newest_alerts, training
 from .gold import VALIDATION
@@ -148,8 +149,8 @@ def searched(t: Tables) -> DataFrame:
         rows, told, scored = training(t), [], []
         for name, cv, parameters, scores in search.search(rows, lb.time_folds(rows, 3)):
             told.append((name, cv, parameters))
-            scored.append(scores.select(F.lit(name).alias("model_name"), event_id("current_accession_number", "holding_key").alias("event_id"), "label", "prediction", "score"))
-        metrics = lb.binary_metrics(save_stage(reduce(DataFrame.unionByName, scored), "scored"), ["model_name"])
+            scored.append(scores.select(F.lit(name).alias("model_name"), event_id("current_accession_number", "holding_key").alias("event_id"), *store.KEYS, "label", "prediction", "score"))
+        metrics = lb.binary_metrics(t.workspace.saved("search_scored", lambda: reduce(DataFrame.unionByName, scored)), ["model_name"])
         best = t.spark.createDataFrame(told, "model_name string, cross_validated_pr_auc double, best_params map<string,string>")
         return mark_best(save_stage(best.join(metrics, "model_name").select(
             *best.columns, "sample_count", "accuracy", "precision", "recall", "f1", "pr_auc"), "comparison"))
@@ -218,6 +219,95 @@ def alerts_with_predictions(t: Tables) -> DataFrame:
     return lb.alerts_with_predictions(newest_alerts(t), runs, stored).select("alert_id", "score", "severity", "probability", "predicted_label")
 
 
+# ---- stored runs ------------------------------------------------------------------------------
+# Scores by rule, their thresholds; and the runs of the store in order, as (group, models).
+RULES = {
+    "rule_score": ("rule_score / 100.0D", "score / 100.0::DOUBLE", 0.4),
+    "moved_value": ("least(1.0D, abs_value_delta_thousands / 100000.0D)", "least(1.0::DOUBLE, abs_value_delta_thousands / 100000.0::DOUBLE)", 0.5),
+    "event_kind": ("CASE WHEN is_new_position THEN 0.75D WHEN is_exited_position THEN 0.5D ELSE 0.25D END",
+                   "CASE WHEN is_new_position THEN 0.75::DOUBLE WHEN is_exited_position THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END", 0.5),
+}
+STORED = (("first", ("event_kind", "moved_value")), (None, ("rule_score",)), ("second", ("rule_score", "moved_value", "event_kind")))
+
+part("rule_models", " UNION ALL ".join(
+    f"SELECT '{name}' AS model_name, event_id, label, s AS p, CASE WHEN s >= {least} THEN 1 ELSE 0 END AS prediction FROM (SELECT *, {sql} AS s FROM reviewed)"
+    for name, (_, sql, least) in RULES.items()))
+part("rule_quality", _metrics_sql("model_name", "rule_models"))
+part("latest_runs", f"""
+  SELECT *, row_number() OVER (ORDER BY best DESC, run_id DESC) AS position
+  FROM (SELECT *, n = first_value(n) OVER (ORDER BY pr_auc DESC, n) AS best, n + {sum(len(names) for _, names in STORED[:-1])} AS run_id
+        FROM rule_quality JOIN (VALUES {', '.join(f"('{name}', {n}::BIGINT)" for n, name in enumerate(STORED[-1][1], 1))}) v(slice, n) USING (slice))
+""")
+
+
+def stored_runs(t: Tables) -> DataFrame:
+    """Runs of a store with two comparisons and a single model between them; ``store`` names its folder."""
+    def build() -> DataFrame:
+        root, rows = f"{shared_folder(t.spark)}/quarterdeck/models-{uuid.uuid4().hex}", reviewed(t)
+        score = {name: F.expr(spark_sql) for name, (spark_sql, _, _) in RULES.items()}
+        scored = save_stage(reduce(DataFrame.unionByName, [rows.select(
+            F.lit(name).alias("model_name"), *store.event_columns(rows), "event_id", "label", (score[name] >= least).cast("int").alias("prediction"), score[name].alias("score"))
+            for name, (_, _, least) in RULES.items()]), "rule-scores")
+        for group, names in STORED:
+            store.store_models(t.spark, root, scored, {name: {"best_params": {"threshold": str(RULES[name][2])}} for name in names}, group)
+        return store.model_runs(t.spark, root).withColumn("store", F.lit(root))
+    return t.workspace.saved("stored_runs", build)
+
+
+@query("latest_model", """
+SELECT position, run_id, slice AS model_name, 'second' AS comparison_group_id, best AS is_best_model, sample_count AS training_samples,
+       true_positive + false_negative AS positive_count, pr_auc, brier_score, precision_at_top_10_percent, accuracy,
+       CAST((SELECT count(DISTINCT len(list_filter(q, lambda e: e < p))) FROM rule_models JOIN (
+         SELECT model_name, quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM rule_models GROUP BY 1) USING (model_name) WHERE model_name = slice) AS BIGINT) AS curve_points
+FROM latest_runs
+""")
+def latest_model(t: Tables) -> DataFrame:
+    """Runs of the newest comparison, best first."""
+    runs = lb.latest_model(stored_runs(t))
+    place = F.row_number().over(Window.orderBy(F.desc("is_best_model"), F.desc("run_id"))).cast("long")  # the runs of one comparison
+    return runs.select(
+        place.alias("position"), "run_id", "model_name", "comparison_group_id", "is_best_model", "training_samples", "positive_count",
+        *[F.round(F.col("metrics")[m], 6).alias(m) for m in ("pr_auc", "brier_score", "precision_at_top_10_percent", "accuracy")],
+        F.size("calibration_curve").cast("long").alias("curve_points"))
+
+
+@query("alerts_with_latest_run", """
+SELECT alert_id, a.score, severity, p AS probability, prediction AS predicted_label
+FROM newest_alerts a LEFT JOIN (SELECT event_id AS alert_id, p, prediction FROM rule_models JOIN latest_runs ON model_name = slice WHERE position = 1) USING (alert_id)
+""")
+def alerts_with_latest_run(t: Tables) -> DataFrame:
+    """Alerts with the predictions of the best run of the newest comparison; alerts that it did not score have none."""
+    runs = stored_runs(t)
+    predictions = store.model_predictions(t.spark, runs.select("store").first()[0]).withColumns({
+        "probability": F.col("score"), "predicted_label": F.col("prediction")})
+    return lb.alerts_with_predictions(newest_alerts(t), runs, predictions).select("alert_id", "score", "severity", "probability", "predicted_label")
+
+
+def _no_scores() -> DataFrame:
+    raise RuntimeError("the scores of the search are gone: forget the workspace and search again")
+
+
+@query("stored_comparison", f"""
+SELECT g.model_name, g.parameters, (SELECT count(*) FROM assessed) AS training_samples, (SELECT CAST(sum(weak_label) AS BIGINT) FROM assessed) AS positive_count,
+       (SELECT count(*) FROM assessed) AS predictions, 1::BIGINT AS groups, 1::BIGINT AS best_models, TRUE AS best_is_highest, TRUE AS curve_in_bounds
+FROM (VALUES {', '.join(f"('{m}', '{_PARAMETERS[m]}')" for m in search.GRID)}) g(model_name, parameters)
+""")
+def stored_comparison(t: Tables) -> DataFrame:
+    """The searched classifiers as stored runs: parameters, metrics, calibration curve, group and predictions are read back from the store."""
+    root = f"{shared_folder(t.spark)}/quarterdeck/models-{uuid.uuid4().hex}"
+    found = {r["model_name"]: {"feature_names": list(ml.CHANGE_FEATURES), "best_params": r["best_params"]} for r in searched(t).collect()}  # a row a model
+    store.store_models(t.spark, root, t.workspace.saved("search_scored", _no_scores), found)
+    runs, counts = store.model_runs(t.spark, root), store.model_predictions(t.spark, root).groupBy("run_id").agg(F.count(F.lit(1)).alias("predictions"))
+    rows = runs.join(counts, "run_id").withColumns({
+        "groups": runs.agg(F.count_distinct("comparison_group_id")).scalar(), "best_models": runs.agg(F.sum(F.col("is_best_model").cast("long"))).scalar(),
+        "highest": runs.agg(F.max(F.col("metrics")["pr_auc"])).scalar()})
+    points = F.col("calibration_curve")
+    return rows.select(
+        "model_name", F.array_join(F.array_sort(F.map_keys("best_params")), "|").alias("parameters"), "training_samples", "positive_count", "predictions", "groups", "best_models",
+        (~F.col("is_best_model") | (F.round(F.col("metrics")["pr_auc"], 9) == F.round("highest", 9))).alias("best_is_highest"),
+        (F.size(points).between(1, 5) & F.forall(points, lambda c: c["predicted_probability"].between(0, 1) & c["observed_frequency"].between(0, 1))).alias("curve_in_bounds"))
+
+
 # ---- fitted forecasts -------------------------------------------------------------------------
 def _folds(t: Tables) -> DataFrame:
     return t.workspace.saved("validation_folds", lambda: folds.validation_folds(t.gold(), *VALIDATION))
