@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -169,8 +170,11 @@ def _listed(under: DataFrame, kinds: list, order: tuple[str, ...]) -> DataFrame:
     """Securities of list lines (``value``) below their ``header``, one of ``kinds``; the first by ``order`` wins."""
     if not kinds or None in kinds:
         raise ValueError("no header row with a CUSIP column")
-    cells = [F.when(F.col("header") == kind, _list_cells(kind)) for kind in kinds]
-    cut = under.select(*order, F.coalesce(*cells).alias("r"))
+    layouts = [_list_layout(kind) for kind in kinds]
+    # a column for each kind of header, filled below that header only, so that a line is parsed once
+    parsed = under.select(*order, *[F.when(F.col("header") == kind, row).alias(f"kind{i}") for i, (kind, (row, _)) in enumerate(zip(kinds, layouts))])
+    cells = [F.when(F.col(f"kind{i}").isNotNull(), cells(F.col(f"kind{i}"))) for i, (_, cells) in enumerate(layouts)]
+    cut = parsed.select(*order, F.coalesce(*cells).alias("r"))
 
     def cell(column: str) -> Column:
         return F.col(f"r.{column}")
@@ -183,8 +187,8 @@ def _listed(under: DataFrame, kinds: list, order: tuple[str, ...]) -> DataFrame:
     return first.select("cusip", "s.*")
 
 
-def _list_cells(header: str) -> Column:
-    """The list columns of a line below this header."""
+def _list_layout(header: str) -> tuple[Column, Callable[[Column], Column]]:
+    """The parsed line below this header, and what makes the list columns of it."""
     separator = "\t" if header.count("\t") >= max(1, header.count(",")) else ","
     names = next(csv.reader([header], delimiter=separator))
     tidy = [" ".join("".join(ch if ch.isalnum() else " " for ch in n.lower()).split()) for n in names]
@@ -194,7 +198,7 @@ def _list_cells(header: str) -> Column:
     if position["cusip"] is None or position["issuer_name"] is None:
         raise ValueError("CUSIP and issuer columns are needed")
     row = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": separator})
-    return F.struct(*[(F.lit(None).cast("string") if i is None else row[f"c{i}"]).alias(c) for c, i in position.items()])
+    return row, lambda line: F.struct(*[(F.lit(None).cast("string") if i is None else line[f"c{i}"]).alias(c) for c, i in position.items()])
 
 
 def enrich_with_list(lines: DataFrame, securities: DataFrame, source_label: str = "official list") -> DataFrame:
