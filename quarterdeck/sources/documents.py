@@ -171,7 +171,7 @@ def _listed(under: DataFrame, kinds: list, order: tuple[str, ...]) -> DataFrame:
     if not kinds or None in kinds:
         raise ValueError("no header row with a CUSIP column")
     layouts = [_list_layout(kind) for kind in kinds]
-    # a column for each kind of header, filled below that header only, so that a line is parsed once
+    # a column for each kind of header, filled below that header only; Spark may parse a line again in the filter it pushes down
     parsed = under.select(*order, *[F.when(F.col("header") == kind, row).alias(f"kind{i}") for i, (kind, (row, _)) in enumerate(zip(kinds, layouts))])
     cells = [F.when(F.col(f"kind{i}").isNotNull(), cells(F.col(f"kind{i}"))) for i, (_, cells) in enumerate(layouts)]
     cut = parsed.select(*order, F.coalesce(*cells).alias("r"))
