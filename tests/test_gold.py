@@ -145,3 +145,29 @@ def test_locked_test_fold(spark):
     from quarterdeck.plans import learning as ml
     with pytest.raises(ValueError):
         next(ml.walk_forward(None, None, include_test=True))
+
+
+def test_candidates_by_manager_need_one_exchange_of_the_rows(spark):
+    from quarterdeck.queries.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    fresh = t.build_gold()
+    wide = gold.build_examples(t.held(), t.negatives(), pf.security_history(t.snapshots()))
+    assert fresh.columns == wide.columns
+    assert fresh.exceptAll(wide).isEmpty() and wide.exceptAll(fresh).isEmpty()
+    stored = t.gold()
+    assert stored.exceptAll(wide).isEmpty() and stored.columns == wide.columns
+    ranked = fc.predicted_ranks(fc.prediction_rows(fresh, fc.simple_forecasts()))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+    assert len(dealt) == 1 and "hashpartitioning(cik" in dealt[0]
+
+
+def test_ranks_beyond_the_broadcast_limit_give_the_same_candidates(spark, monkeypatch):
+    from quarterdeck.queries.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sent = save_stage(t.build_gold(), "sent")
+    monkeypatch.setattr(peers, "BROADCAST_RANKS", 0)
+    shuffled = t.build_gold()
+    assert sent.exceptAll(shuffled).isEmpty() and shuffled.exceptAll(sent).isEmpty()
