@@ -83,3 +83,24 @@ def test_caps_in_one_pass_match_a_build_for_each(spark):
         mean = gold.coverage_by_manager_quarter(examples, quarters).agg(F.avg("target_weight_mass_coverage")).first()[0]
         assert one[cap] == pytest.approx(mean)
     assert len(set(one.values())) > 3
+
+
+def test_impacts_are_summed_by_kind_of_alert_without_their_pairs(spark):
+    from quarterdeck.operators import clients as cl
+
+    alerts = spark.createDataFrame(
+        [(f"a{i}", cusip, "issuer", sector, score, "low") for i, (cusip, sector, score) in enumerate(
+            [("C1", "Energy", 90), ("C1", "Energy", 90), ("C1", "Energy", 20), ("C2", "Unknown", 75), ("C1", None, 75), ("C3", "Energy", 75), ("C9", "Unknown", 5)])],
+        "alert_id string, cusip string, issuer_name string, sector string, score long, severity string")
+    holdings = spark.createDataFrame(
+        [("1", "one", "s", "C1", "i", "Energy", .75), ("1", "one", "s", "C2", "i", "Unknown", .25), ("2", "two", "s", "C1", "i", "Technology", 1.0),
+         ("3", "three", "s", "C3", "i", "Energy", 0.0), ("3", "three", "s", "C4", "i", "Energy", 1.0), ("4", "four", "s", "C2", "i", "Unknown", 1.0)],
+        "client_id string, client_name string, strategy string, cusip string, issuer_name string, sector string, weight double")
+    pairs = cl.client_impacts(alerts, holdings).groupBy("alert_id").agg(
+        F.count(F.lit(1)).alias("clients"), *[F.sum((F.col("impact_label") == n).cast("long")).alias(n) for n in ("high", "medium")],
+        F.sum("impact_score").alias("total_impact"), F.sum("direct_weight").alias("direct_weight"), F.sum("sector_weight").alias("sector_weight"))
+    summed = cl.impact_summary(alerts, holdings)
+    assert summed.columns == pairs.columns
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, pairs.collect()))
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "client_id" not in plan  # the alerts meet sums, not clients
