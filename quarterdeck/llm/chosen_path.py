@@ -210,8 +210,34 @@ def _tree(edges: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in parent if root(x) != x]
 
 
+def _merging(inside: list[tuple[np.ndarray, np.ndarray]], across: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """The links of ``across`` that join components which those of ``inside`` and the ones before leave apart."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for told, links in ((False, inside), (True, across)):
+        for a, b in links:
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    if told:
+                        kept.append((x, y))
+    return kept
+
+
 def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidate links a, b found by brute force on the sketches of each node."""
+    """Candidate links a, b found by brute force on the sketches of each node.
+
+    A tile of two blocks tells only what joins components of the blocks, whose own links their own tiles
+    tell: texts that are all alike give a row each, and one for each pair of blocks.
+    """
     tiles = _tiled(shared, "node", F.col("size"), SMALL).join(rows.select("id", "n", "sketch"), "id")
     keys = ["node", "x", "y"]
 
@@ -223,18 +249,20 @@ def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
             ids, n, second = tile["id"].to_numpy(), tile["n"].to_numpy(), tile["second"].to_numpy()
             sketch = np.frombuffer(b"".join(tile["sketch"]), dtype=np.uint8).reshape(-1, BINS)
             split = tile["x"].iat[0] != tile["y"].iat[0]
-            edges = []
+            if split and second.all() | ~second.any():
+                continue
+            inside, across = [], []
             for i in range(len(tile)):
-                to = np.flatnonzero(second != second[i]) if split else np.arange(i + 1, len(tile))
-                if split and second[i]:
-                    continue
+                to = np.arange(i + 1, len(tile))
                 to = to[np.minimum(n[to], n[i]) * DENOMINATOR >= np.maximum(n[to], n[i]) * NUMERATOR]
                 if len(to):
                     same = ((sketch[to] == sketch[i]) & (sketch[i] > 0)).sum(axis=1)
                     both = ((sketch[to] > 0) | (sketch[i] > 0)).sum(axis=1)
                     to = to[same >= DOUBT * both]
-                    edges.append((np.full(len(to), ids[i]), ids[to]))
-            for a, b in _tree(edges):
+                    for links, chosen in ((inside, to[second[to] == second[i]]), (across, to[second[to] != second[i]])):
+                        if len(chosen):
+                            links.append((np.full(len(chosen), ids[i]), ids[chosen]))
+            for a, b in _merging(inside, across) if split else _tree(inside):
                 out_a.append(a)
                 out_b.append(b)
             if len(out_a) > 50_000:

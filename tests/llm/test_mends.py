@@ -115,3 +115,17 @@ def test_given_texts_are_spliced(spark, given):
     long = [t for t in texts if len(t) > token_counts.CHUNK]
     assert len(long) > 1 and count.count_long(long[0]) == len(count.model.encode(long[0]))
     assert count(texts) == [len(ids) for ids in count.model.encode(texts, num_threads=1)]
+
+
+def test_links_of_a_large_node_follow_its_texts_and_not_their_square(spark, monkeypatch):
+    from quarterdeck.llm import chosen_path, components
+
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    n = 160  # twenty blocks of texts of two kinds: 210 tiles
+    kinds = [bytes([1 + k]) * chosen_path.BINS for k in (0, 1)]
+    rows = spark.createDataFrame([(i, 10, bytearray(kinds[i % 2])) for i in range(n)], "id long, n int, sketch binary")
+    shared = spark.createDataFrame([(i, 5, n) for i in range(n)], "id long, node long, size long")
+    links = chosen_path._sketch_links(shared, rows).collect()
+    assert len(links) <= n + 2 * 190
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == {i: i % 2 for i in range(n)}
