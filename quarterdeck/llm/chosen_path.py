@@ -235,10 +235,45 @@ def _merging(inside: list[tuple[np.ndarray, np.ndarray]], across: list[tuple[np.
 def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
     """Candidate links a, b found by brute force on the sketches of each node.
 
-    A tile of two blocks tells only what joins components of the blocks, whose own links their own tiles
-    tell: texts that are all alike give a row each, and one for each pair of blocks.
+    Blocks of a large node are searched first, each in one tile. What their links and those of all other
+    nodes join stays together, so only texts of different components are compared across blocks: texts that
+    are all alike are not tiled at all, and the others meet the largest component without its own tiles.
     """
-    tiles = _tiled(shared, "node", F.col("size"), SMALL).join(rows.select("id", "n", "sketch"), "id")
+    large = F.col("size") > SMALL
+    first = shared.withColumn("x", F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(SMALL)))).otherwise(0).cast("int"))
+    links = _searched(first.withColumns({"y": F.col("x"), "second": F.lit(False), "root": F.col("id")}), rows)
+    wide = shared.filter(large)
+    if wide.isEmpty():
+        return links
+    links = save_stage(links, "paths-links-inside")
+    found = components(links).withColumnRenamed("node", "id")
+    wide = save_stage(wide.select("id", "node").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")), "paths-wide")
+    parts = save_stage(wide.groupBy("node", "root").agg(F.count("*").alias("n")), "paths-parts")
+    most = parts.groupBy("node").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+    left = save_stage(wide.join(most.filter("parts > 1"), "node").select(
+        "id", "node", "root", (F.col("root") == F.col("most.root")).alias("joined"), F.col("most.n").alias("n"), (F.col("size") - F.col("most.n")).alias("others")), "paths-left")
+    return links.union(_searched(_across(left), rows)).distinct()
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """Tiles of the texts outside a node's largest component: with each other, and with that component's (on the second side).
+
+    ``left`` has id, node, root (of its component), joined (is in the largest component), n (its texts) and others (the texts outside).
+    """
+    blocks, far = F.ceil(F.col("others") / F.lit(SMALL)).cast("int"), F.ceil(F.col("n") / F.lit(SMALL)).cast("int")
+    outside = left.filter(~F.col("joined"))
+    own = _tiled(outside.select("id", "node", "root", "others"), "node", F.col("others"), SMALL).drop("others")
+    met = left.withColumn("_b", F.pmod(F.xxhash64("id"), F.when(F.col("joined"), far).otherwise(blocks)).cast("int"))
+    # blocks of the component are numbered below 0
+    to = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("joined"), blocks).otherwise(far) - 1)))
+    across = to.select("id", "node", "root", F.when(F.col("joined"), -1 - F.col("_b")).otherwise(-1 - F.col("_o")).alias("x"),
+                       F.when(F.col("joined"), F.col("_o")).otherwise(F.col("_b")).alias("y"), F.col("joined").alias("second"))
+    return own.unionByName(across)
+
+
+def _searched(tiles: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links within the tiles (node, x, y) that join texts of different roots; of a tile of two blocks those that join components of the blocks."""
+    tiles = tiles.select("id", "node", "x", "y", "second", "root").join(rows.select("id", "n", "sketch"), "id")
     keys = ["node", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +286,7 @@ def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
             split = tile["x"].iat[0] != tile["y"].iat[0]
             if split and second.all() | ~second.any():
                 continue
-            inside, across = [], []
+            inside, across, known = [], [], [(ids, tile["root"].to_numpy())]
             for i in range(len(tile)):
                 to = np.arange(i + 1, len(tile))
                 to = to[np.minimum(n[to], n[i]) * DENOMINATOR >= np.maximum(n[to], n[i]) * NUMERATOR]
@@ -262,7 +297,7 @@ def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
                     for links, chosen in ((inside, to[second[to] == second[i]]), (across, to[second[to] != second[i]])):
                         if len(chosen):
                             links.append((np.full(len(chosen), ids[i]), ids[chosen]))
-            for a, b in _merging(inside, across) if split else _tree(inside):
+            for a, b in _merging(known + inside, across) if split else _merging(known, inside):
                 out_a.append(a)
                 out_b.append(b)
             if len(out_a) > 50_000:
@@ -270,7 +305,7 @@ def _sketch_links(shared: DataFrame, rows: DataFrame) -> DataFrame:
                 out_a, out_b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    dealt = tiles.select(*keys, "second", "id", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id")
+    dealt = tiles.select(*keys, "second", "root", "id", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 

@@ -129,3 +129,24 @@ def test_links_of_a_large_node_follow_its_texts_and_not_their_square(spark, monk
     assert len(links) <= n + 2 * 190
     found = components.components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.root for r in found.collect()} == {i: i % 2 for i in range(n)}
+
+
+def test_texts_that_are_all_alike_are_not_dealt_to_pairs_of_blocks(spark, monkeypatch):
+    from quarterdeck.llm import chosen_path, components
+
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    n = 160
+    kinds = [bytes([1 + k]) * chosen_path.BINS for k in (0, 1)]
+    # eight nodes of texts of one kind, whose blocks differ by chance of their ids, and one text of another kind
+    texts = [(i, 10, bytearray(kinds[i == 7])) for i in range(n)]
+    rows = spark.createDataFrame(texts, "id long, n int, sketch binary")
+    shared = spark.createDataFrame([(i, k, n) for i in range(n) for k in range(8)], "id long, node long, size long")
+    # a path from block to block, as the blocks of other nodes give it
+    pairs = spark.createDataFrame([(i, 100 + i // 4, 4) for i in range(n)] + [(i, 200 + (i + 2) // 4, 4) for i in range(n)], "id long, node long, size long")
+    plans = []
+    run = chosen_path._searched
+    monkeypatch.setattr(chosen_path, "_searched", lambda tiles, rows: plans.append(tiles.count()) or run(tiles, rows))
+    links = chosen_path._sketch_links(shared.union(pairs), rows).collect()
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(n) if i != 7}
+    assert sum(plans) <= 3 * (8 + 2) * n  # before: 8 n rows in each of 20 blocks
