@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strip
+from ..session import save_stage
 
 
 def rejected_rows(filings: DataFrame, holdings: DataFrame) -> DataFrame:
@@ -74,12 +75,12 @@ def label_problems(labelled: DataFrame) -> DataFrame:
         *blank,
     ]
     reason = F.coalesce(*[F.when(condition, text) for condition, text in rules])
-    copies = labelled.groupBy(event.alias("event")).agg(F.count(F.lit(1)).alias("copies"))
-    # the copy counts are one row per event, so no group of copies is gathered
-    return (
-        labelled.withColumn("event", event).join(copies, "event").select("event_id", reason.alias("reason"))
-        .filter(F.col("reason").isNotNull())
-    )
+    # ids are long and seldom alike: short hashes find those that can repeat, and only they are counted and joined
+    hashed = labelled.withColumn("event", event).withColumn("h", F.xxhash64("event"))
+    suspects = save_stage(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suspects")
+    repeated = hashed.select("h", "event").join(suspects, "h", "left_semi").groupBy("event").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = save_stage(repeated.filter("copies > 1"), "repeated")
+    return hashed.join(repeated, "event", "left").select("event_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def label_summary(labelled: DataFrame) -> DataFrame:
