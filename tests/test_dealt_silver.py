@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarterdeck.operators import folds, portfolios
+from quarterdeck.operators import folds, holdings, portfolios
 from quarterdeck.plans import silver
 from quarterdeck.queries import gold, tables
 from quarterdeck.queries.tables import Tables
@@ -47,3 +47,11 @@ def test_ids_that_repeat_are_found_by_short_hashes(spark):
         F.last_day(F.add_months(day, 3)).alias("target_report_period"), day.alias("feature_available_at"), F.date_add(day, 90).alias("target_available_at"),
         day.alias("security_first_seen_period"), day.alias("security_first_seen_available_at"))
     assert [(r.code, r.example_id) for r in folds.audit_examples(rows).collect()] == [("duplicate_example", "8")]
+
+
+def test_duplicates_are_counted_in_one_deal(spark):
+    t = Tables(spark, SOURCE)
+    dealt, plain = (holdings.duplicate_counts(t.filings(), t.lines(), n) for n in (3, None))
+    assert dealt.collect() == plain.collect()
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(accession_number" not in plan.split("HashAggregate")[1]
