@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import side_key
-from ..functions.text import normalize_cusip, strip
+from ..functions.keys import option_side, side_key
+from ..functions.text import is_valid_cusip, normalize_cusip, strip
+from .filings import MANAGER_QUARTER, effective_filing_rows
 
 KEYS = ("cik", "report_period", "security_key")
 SHARES_TOLERANCE = 1e-6
@@ -110,6 +111,27 @@ def reason_counts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def reasons_by_quarter(left: DataFrame, right: DataFrame, lines: DataFrame, dealt: int) -> DataFrame:
+    """:func:`reason_counts` of :func:`mismatch_inventory` for two builds by CUSIP and side from filings ``left`` and ``right`` (selected).
+
+    Holdings of either build and their raw lines follow from the lines of a manager-quarter, so lines that name theirs
+    are dealt by it once over ``dealt`` partitions, without values and names, and all is decided there.
+    """
+    sides = effective_filing_rows(left).select("accession_number", *MANAGER_QUARTER, F.lit(True).alias("left")).distinct().join(
+        effective_filing_rows(right).select("accession_number", *MANAGER_QUARTER, F.lit(True).alias("right")).distinct(), ["accession_number", *MANAGER_QUARTER], "full_outer")
+    filed = sides.groupBy(*MANAGER_QUARTER).agg(F.collect_list(F.struct("accession_number", F.coalesce("left", F.lit(False)).alias("left"), F.coalesce("right", F.lit(False)).alias("right"))).alias("filed"))
+    keyed = lines.filter(is_valid_cusip("cusip")).select(*MANAGER_QUARTER, "accession_number", "cusip", option_side("put_call").alias("side"))
+    met = keyed.repartition(dealt, *MANAGER_QUARTER).join(filed.repartition(dealt, *MANAGER_QUARTER), list(MANAGER_QUARTER))
+    own = F.filter("filed", lambda f: f["accession_number"] == F.col("accession_number"))
+    told = met.select(*MANAGER_QUARTER, "cusip", "side", F.explode(own).alias("f"))
+    found = told.groupBy(*MANAGER_QUARTER, "cusip", "side").agg(
+        F.max("f.left").alias("left"), F.max("f.right").alias("right"), F.min(F.when(F.col("f.left"), F.col("f.right"))).alias("all_selected"))
+    # a holding of one build has raw lines in each of its filings, so the reasons that ask for them do not occur
+    one_sided = found.filter("left <> right").select(F.when(F.col("right"), "absent_from_left").when(
+        ~F.col("all_selected"), "source_accession_not_selected").otherwise("missing_after_selected_raw_holding").alias("exclusion_reason"))
+    return reason_counts(one_sided)
+
+
 def source_integrity(files: DataFrame, manifest: DataFrame, forbidden_packages: tuple[str, ...] = ()) -> DataFrame:
     """Each source file against the manifest: ok, missing, unexpected, changed or forbidden.
 
